@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from millrace.llm import embedding_dedup
+from millrace.llm import bpe, embedding_dedup
 
-QUERIES = {"op1_embedding_near_dedup": embedding_dedup.op1}
+QUERIES = {
+    "op1_embedding_near_dedup": embedding_dedup.op1,
+    "op2_bpe": bpe.op2,
+}
 ORACLE: dict[str, str] = {}
 
 
