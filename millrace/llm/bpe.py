@@ -25,6 +25,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.llm.texts import map_texts
 from millrace.storage import shared_dir
 
 #: The pattern that splits text before the merges.
@@ -412,20 +413,6 @@ def publish_lexicon(spark: SparkSession, block: bytes) -> str:
     return name
 
 
-def _groups(texts: Iterable[str | None]) -> Iterator[list[str]]:
-    """Texts in their order, in groups of bounded size; null counts as empty."""
-    group: list[str] = []
-    size = 0
-    for t in texts:
-        group.append(t or "")
-        size += len(group[-1])
-        if size >= GROUP_CHARS:
-            yield group
-            group, size = [], 0
-    if group:
-        yield group
-
-
 #: One encoder for each lexicon and tokenizer file of a worker process.
 _ENCODERS: dict[tuple[str, str], Encoder] = {}
 
@@ -452,13 +439,16 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
     path = path or default_path()
     name = _lexicon_for(docs, text_col, path, words)
 
-    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make():
         enc = _encoder(name, path)
-        for pdf in batches:
-            ids = [np.frombuffer(i, "<u4").astype(np.int32) for group in _groups(pdf["text"]) for i in enc.encode_many(group)]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "n_tokens": [len(i) for i in ids], "ids": ids})
 
-    return _source(docs, id_col, text_col).mapInPandas(run, "doc_id long, n_tokens long, ids array<int>")
+        def run(texts: list[str]) -> dict:
+            ids = [np.frombuffer(i, "<u4").astype(np.int32) for i in enc.encode_many(texts)]
+            return {"n_tokens": [len(i) for i in ids], "ids": ids}
+
+        return run
+
+    return map_texts(docs, make, "n_tokens long, ids array<int>", GROUP_CHARS, id_col, text_col)
 
 
 def decode(encoded: DataFrame, ids_col: str = "ids", path: str | None = None) -> DataFrame:
@@ -474,26 +464,22 @@ def decode(encoded: DataFrame, ids_col: str = "ids", path: str | None = None) ->
     return encoded.withColumn("text", text(ids_col))
 
 
-def _source(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-
-
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
     """``(doc_id, n_tokens, ids_sha256, decoded_sha256)``: what `encode` and `decode` give, as digests, in one pass."""
     path = path or default_path()
     name = _lexicon_for(docs, text_col, path, LEXICON_WORDS)
 
-    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make():
         enc = _encoder(name, path)
-        for pdf in batches:
-            n, a, b = [], [], []
-            for ids in (i for group in _groups(pdf["text"]) for i in enc.encode_many(group)):
-                n.append(len(ids) // 4)
-                a.append(hashlib.sha256(ids).hexdigest())
-                b.append(hashlib.sha256(enc.decode(ids).encode()).hexdigest())
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "n_tokens": n, "ids_sha256": a, "decoded_sha256": b})
-
-    return _source(docs, id_col, text_col).mapInPandas(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+
+        def run(texts: list[str]) -> dict:
+            ids = enc.encode_many(texts)
+            decoded = [hashlib.sha256(enc.decode(i).encode()).hexdigest() for i in ids]
+            return {"n_tokens": [len(i) // 4 for i in ids], "ids_sha256": [hashlib.sha256(i).hexdigest() for i in ids], "decoded_sha256": decoded}
+
+        return run
+
+    return map_texts(docs, make, "n_tokens long, ids_sha256 string, decoded_sha256 string", GROUP_CHARS, id_col, text_col)
 
 
 def op2(spark, sf_dir: str) -> DataFrame:

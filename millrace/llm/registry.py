@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from millrace.llm import bpe, embedding_dedup
+from millrace.llm import bpe, embedding_dedup, minhash
 
 QUERIES = {
     "op1_embedding_near_dedup": embedding_dedup.op1,
     "op2_bpe": bpe.op2,
+    "op4_minhash_near_dedup": minhash.op4,
 }
 ORACLE: dict[str, str] = {}
 
