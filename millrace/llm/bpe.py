@@ -20,6 +20,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
@@ -366,27 +367,27 @@ class Encoder:
         return self.spelt[np.repeat(shift, long) + np.arange(int(long.sum()))].tobytes().decode("utf-8", "replace")
 
 
-def _counted(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _counted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pieces between white space and their counts in a partition, in parts of bounded size."""
     pieces: Counter = Counter()
 
-    def flush() -> pd.DataFrame:
-        out = pd.DataFrame({"piece": list(pieces), "n": list(pieces.values())})
+    def flush() -> pa.RecordBatch:
+        out = pa.RecordBatch.from_arrays([pa.array(pieces, pa.string()), pa.array(pieces.values(), pa.int64())], ["piece", "n"])
         pieces.clear()
         return out
 
-    for pdf in batches:
-        for text in pdf["text"]:
-            if text:
-                pieces.update(text.split())
-                if len(pieces) >= COUNTED:
-                    yield flush()
-    yield flush()
+    for batch in batches:
+        for text in batch.column(0).to_pylist():
+            pieces.update(text.split())
+            if len(pieces) >= COUNTED:
+                yield flush()
+    if pieces:
+        yield flush()
 
 
 def frequent_words(docs: DataFrame, text_col: str = "text", words: int = LEXICON_WORDS) -> list[bytes]:
     """The words of the most frequent pieces of all texts, ties by their text; `words` pieces at most reach the driver."""
-    counts = docs.select(F.col(text_col).cast("string").alias("text")).where("text != ''").mapInPandas(_counted, "piece string, n long")
+    counts = docs.select(F.col(text_col).cast("string").alias("text")).where("text != ''").mapInArrow(_counted, "piece string, n long")
     top = counts.where(F.octet_length("piece") < LEXICON_BYTES).groupBy("piece").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "piece").limit(words)
     found = dict.fromkeys(w for r in top.collect() for w in split_piece(" " + r.piece))
     return [w.encode("utf-8", "surrogatepass") for w in found]
