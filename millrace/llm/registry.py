@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from millrace.llm import bpe, embedding_dedup, minhash
+from millrace.llm import bpe, embedding_dedup, line_dedup, minhash, secrets
 
 QUERIES = {
     "op1_embedding_near_dedup": embedding_dedup.op1,
     "op2_bpe": bpe.op2,
     "op4_minhash_near_dedup": minhash.op4,
+    "op5_secret_scan": secrets.op5,
+    "op6_line_dedup": line_dedup.op6,
+}
+ORACLE: dict[str, str] = {
+    "op6_line_dedup": line_dedup.ORACLE_OP6,
 }
-ORACLE: dict[str, str] = {}
 
 
 def queries() -> dict:
