@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from millrace.llm import bpe, embedding_dedup, line_dedup, minhash, secrets
+from millrace.llm import bpe, chat, embedding_dedup, line_dedup, minhash, mixing, secrets, sharding
 
 QUERIES = {
     "op1_embedding_near_dedup": embedding_dedup.op1,
@@ -10,6 +10,9 @@ QUERIES = {
     "op4_minhash_near_dedup": minhash.op4,
     "op5_secret_scan": secrets.op5,
     "op6_line_dedup": line_dedup.op6,
+    "op7_source_mixing": mixing.op7,
+    "op8_feistel_sharding": sharding.op8,
+    "op9_chat_formatting": chat.op9,
 }
 ORACLE: dict[str, str] = {
     "op6_line_dedup": line_dedup.ORACLE_OP6,
