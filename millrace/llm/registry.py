@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from millrace.llm import bpe, chat, embedding_dedup, line_dedup, minhash, mixing, secrets, sharding
+from millrace.llm import bpe, chat, embedding_dedup, line_dedup, minhash, mixing, multi_index, secrets, sharding
 
 QUERIES = {
     "op1_embedding_near_dedup": embedding_dedup.op1,
@@ -13,6 +13,7 @@ QUERIES = {
     "op7_source_mixing": mixing.op7,
     "op8_feistel_sharding": sharding.op8,
     "op9_chat_formatting": chat.op9,
+    "op10_nearest_vectors": multi_index.op10,
 }
 ORACLE: dict[str, str] = {
     "op6_line_dedup": line_dedup.ORACLE_OP6,
