@@ -161,5 +161,25 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     return out.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "digest")
 
 
+def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """The rows of `docs`, all columns, as often as the mix takes them: whole, but for the one row of a source in which its
+    last block ends, which comes once with its first words only, set apart by single spaces.
+
+    Of rows with equal id and text, one stands for all. Texts are moved once, to meet their copies.
+    """
+    rows, plan = _sized(docs, id_col, text_col, source_col)
+    rows = written(_laid(rows, plan, docs.sparkSession), "laid")
+    turns = _turns(docs.sparkSession, plan).select("no", "block", "epoch")
+    copies = _pieces(rows).join(turns, ["no", "block"]).groupBy("no", "offset", "epoch").agg(F.sum(F.expr("end - begin")).cast("int").alias("__words"))
+    copies = copies.join(rows.where("size > 0").select("no", "offset", "doc_id", "digest", "size"), ["no", "offset"])
+    copies = copies.select(F.col("doc_id").alias("__id"), F.col("digest").alias("__digest"), "__words", F.col("size").alias("__size"))
+    base = docs.withColumn("__id", F.col(id_col).cast("long")).withColumn("__digest", F.xxhash64(F.col(text_col).cast("string"))).dropDuplicates(["__id", "__digest"])
+    same = base["__id"].eqNullSafe(copies["__id"]) & (base["__digest"] == copies["__digest"])
+    text = F.col(text_col).cast("string")
+    cut = F.array_join(F.slice(F.regexp_extract_all(text, F.lit(r"([^\x20\x09-\x0D]+)"), F.lit(1)), F.lit(1), F.col("__words")), " ")
+    out = base.join(copies, same).withColumn(text_col, F.when(F.col("__words") < F.col("__size"), cut).otherwise(text))
+    return out.select(*docs.columns)
+
+
 def op7(spark, sf_dir: str) -> DataFrame:
     return mix(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("digest")

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from millrace.llm import bpe, chat, embedding_dedup, line_dedup, minhash, mixing, multi_index, secrets, sharding
+from millrace.llm import bpe, chat, embedding_dedup, line_dedup, minhash, mixing, multi_index, quality, secrets, sharding
 
 QUERIES = {
     "op1_embedding_near_dedup": embedding_dedup.op1,
     "op2_bpe": bpe.op2,
+    "op3_quality_classifier": quality.op3,
     "op4_minhash_near_dedup": minhash.op4,
     "op5_secret_scan": secrets.op5,
     "op6_line_dedup": line_dedup.op6,

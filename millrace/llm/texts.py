@@ -46,3 +46,16 @@ def map_texts(docs: DataFrame, make: Callable[[], Callable[[list[str]], dict]],
                 at += len(group)
 
     return source(docs, id_col, text_col).mapInArrow(run, struct)
+
+
+def filter_texts(docs: DataFrame, make: Callable[[], Callable[[list[str]], list[bool]]], text_col: str = "text", chars: int = 4_000_000) -> DataFrame:
+    """Rows of `docs`, with all their columns, for which the function that ``make()`` gives says so of their text."""
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        work = make()
+        for batch in batches:
+            mask = [x for group in groups(batch.column(at).to_pylist(), chars) for x in work(group)]
+            yield batch.filter(pa.array(mask, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
