@@ -37,7 +37,7 @@ def score(cos: Column, metric: str) -> Column:
 
 def sign_hash(v: Column) -> Column:
     """64 signs of a vector as the bits of a long."""
-    bits = F.transform(F.slice(v, 1, 64), lambda x, i: F.when(x > 0, F.shiftleft(F.lit(1).cast("long"), i.cast("int"))).otherwise(F.lit(0).cast("long")))
+    bits = F.transform(F.slice(v, 1, 64), lambda x, i: F.when(x > 0, F.call_function("shiftleft", F.lit(1).cast("long"), i.cast("int"))).otherwise(F.lit(0).cast("long")))
     return F.aggregate(bits, F.lit(0).cast("long"), lambda a, b: a.bitwiseOR(b))
 
 

@@ -12,7 +12,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 def accepted(requests: DataFrame, key: str, time: str, order: str, limit: int, seconds: float) -> DataFrame:
     """Batch form: ``(key, order, accepted)``. A fold over a key's requests in time; keeps the accepted times in the window."""
-    items = F.array_sort(F.collect_list(F.struct(F.unix_micros(F.col(time)).alias("t"), F.col(order).alias("o"))))
+    items = F.array_sort(F.collect_list(F.struct(F.unix_micros(F.col(time).cast("timestamp")).alias("t"), F.col(order).alias("o"))))
     by = requests.where(F.col(time).isNotNull()).groupBy(key).agg(items.alias("x"))
     start = F.struct(F.array().cast("array<bigint>").alias("held"), F.array().cast("array<struct<o:bigint,ok:boolean>>").alias("out"))
     span = int(seconds * 1_000_000)
@@ -40,5 +40,5 @@ def accepted_stream(requests: DataFrame, key: str, time: str, order: str, limit:
         state.update((held,))
         yield pd.DataFrame(out, columns=["key", "o", "accepted"])
 
-    rows = requests.where(F.col(time).isNotNull()).select(F.col(key).cast("string").alias("key"), F.unix_micros(F.col(time)).alias("t"), F.col(order).cast("long").alias("o"))
+    rows = requests.where(F.col(time).isNotNull()).select(F.col(key).cast("string").alias("key"), F.unix_micros(F.col(time).cast("timestamp")).alias("t"), F.col(order).cast("long").alias("o"))
     return rows.groupBy("key").applyInPandasWithState(decide, "key string, o long, accepted boolean", "held array<long>", "append", GroupStateTimeout.NoTimeout)
