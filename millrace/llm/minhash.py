@@ -26,15 +26,19 @@ from millrace.storage import written
 WORDS = 5
 #: Bands and minima of each: a pair at 0.85 is missed by all bands once in 80,000 times.
 BANDS, ROWS = 24, 6
-#: Low bits kept of each minimum, and 64-bit numbers that hold them.
-BITS = 4
-PACKED = BANDS * ROWS * BITS // 64
+#: Minima of a signature, the bands' first; low bits kept of each, and 64-bit numbers that hold them.
+MINIMA, BITS = 384, 4
+PACKED = MINIMA * BITS // 64
 #: A candidate may fall short of the threshold by so many standard deviations of the estimate.
 SLACK = 5.0
+#: Bits, as a power of two, of the filter that finds candidates' texts: 4 MB.
+FILTER_BITS = 25
+#: Rounds in which members of other components meet one member, drawn anew, of their bucket's largest component.
+ROUNDS = 1
 #: Words whose hash a worker remembers.
 MEMO = 400_000
 
-_MULTIPLY = np.array([int.from_bytes(xxhash.xxh3_128_digest(f"minhash {k}".encode())[:8], "little") | 1 for k in range(BANDS * ROWS)], dtype=np.uint64)
+_MULTIPLY = np.array([int.from_bytes(xxhash.xxh3_128_digest(f"minhash {k}".encode())[:8], "little") | 1 for k in range(MINIMA)], dtype=np.uint64)
 _STEP = [np.uint64(int.from_bytes(xxhash.xxh3_128_digest(f"shingle {k}".encode())[:8], "little") | 1) for k in range(WORDS)]
 
 
@@ -75,11 +79,11 @@ def shingle_hashes(text: str | None, hashes: dict) -> np.ndarray:
 def signature(shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Band keys and packed low bits of a non-empty set's minima."""
     minima = np.full(len(_MULTIPLY), np.iinfo(np.uint64).max, dtype=np.uint64)
-    for at in range(0, len(shingles), 2048):
-        x = shingles[at : at + 2048][None, :] * _MULTIPLY[:, None]
+    for at in range(0, len(shingles), 1024):
+        x = shingles[at : at + 1024][None, :] * _MULTIPLY[:, None]
         np.minimum(minima, (x ^ (x >> np.uint64(32))).min(axis=1), out=minima)
     minima = _mixed(minima)
-    raw = minima.reshape(BANDS, ROWS).tobytes()
+    raw = minima[: BANDS * ROWS].tobytes()
     keys = np.array([xxhash.xxh3_64_intdigest(raw[8 * ROWS * k : 8 * ROWS * (k + 1)], seed=k) for k in range(BANDS)], dtype=np.uint64)
     low = (minima & np.uint64((1 << BITS) - 1)).reshape(PACKED, -1) << np.arange(0, 64, BITS, dtype=np.uint64)
     return keys.view(np.int64), np.bitwise_or.reduce(low, axis=1).view(np.int64)
@@ -122,14 +126,30 @@ def _may_link(percent: int) -> Column:
     """Whether a pair with columns n, packed and n2, packed2 can reach the threshold."""
     least, chance = percent / 100, 2.0**-BITS
     agree = least + (1 - least) * chance
-    slack = SLACK * (agree * (1 - agree) / (BANDS * ROWS)) ** 0.5 / (1 - chance)
+    slack = SLACK * (agree * (1 - agree) / MINIMA) ** 0.5 / (1 - chance)
     return (100 * F.least("n", "n2") >= percent * F.greatest("n", "n2")) & (estimate("packed", "packed2") >= least - slack)
 
 
+def _among(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of `docs` whose doc_id is in `ids`, without moving the texts of most others.
+
+    A bitmap of fixed size, 2 ** FILTER_BITS bits over hashes of the ids, is broadcast and lets by all rows wanted and few
+    others; only these are shuffled to be joined. If the ids outgrow the bitmap more texts move, and the result is the same.
+    """
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(2**FILTER_BITS))
+    part, bit = F.shiftright(place, 15).alias("part"), place.bitwiseAND(F.lit(2**15 - 1))
+    maps = ids.select(part, bit.alias("bit")).groupBy("part").agg(F.bitmap_construct_agg("bit").alias("map"))
+    byte = F.conv(F.hex(F.substring("map", F.expr("bit div 8 + 1").cast("int"), 1)), 16, 10).cast("int")
+    some = docs.withColumn("part", F.shiftright(place, 15)).withColumn("bit", bit).join(F.broadcast(maps), "part")
+    some = some.where(F.call_function("shiftright", byte, (F.col("bit") % 8).cast("int")).bitwiseAND(F.lit(1)) == 1)
+    return some.drop("part", "bit", "map").join(ids, "doc_id", "left_semi")
+
+
 def _confirm(pairs: DataFrame, docs: DataFrame, percent: int, name: str) -> DataFrame:
     """Those of the pairs (a, b) whose full sets reach the threshold. Texts of no other documents are moved twice."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = written(docs.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]), f"{name}-texts")
+    ids = written(ids, f"{name}-ids")
+    texts = written(_among(docs, ids).dropDuplicates(["doc_id"]), f"{name}-texts")
 
     def check(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = _Hashes()
@@ -179,18 +199,39 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     first = written(described(heads).where(_may_link(percent)).select("a", "b"), "first")
     links = _confirm(first, docs, percent, "first")
     component = written(connected_components(links, "a", "b"), "components")
-    own = members.where("many > 2").join(component.withColumnRenamed("id", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("c"))
-    own = written(own, "own")
-    per = own.groupBy("key", "c").agg(F.count("*").alias("k"))
-    mixed = per.groupBy("key").agg(F.max(F.struct("k", "c")).alias("top"), F.count("*").alias("parts")).where("parts > 1")
-    mixed = written(mixed.select("key", F.col("top.c").alias("most")), "mixed")
-    own = own.join(mixed, "key").join(size, "rep")
-    rest = written(own.where("c != most"), "rest")
-    other = written(own.select("key", F.col("rep").alias("b"), F.col("c").alias("c2"), F.col("n").alias("n2"), F.col("packed").alias("packed2"), "most"), "other")
-    # A pair of two components has a member outside the largest; if both are, it is met once.
-    across = rest.withColumnRenamed("rep", "a").drop("most").join(other, "key").where((F.col("c") != F.col("c2")) & ((F.col("c2") == F.col("most")) | (F.col("a") < F.col("b"))) & _may_link(percent))
-    across = across.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
-    across = written(across, "across")
+    tried = first
+    wide = members.where("many > 2").select("key", "rep")
+
+    def mixed() -> DataFrame:
+        """Members of buckets that hold more than one component, with their own and the bucket's largest."""
+        own = wide.join(component.withColumnRenamed("id", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("c"))
+        own = written(own, "own")
+        per = own.groupBy("key", "c").agg(F.count("*").alias("k"))
+        most = per.groupBy("key").agg(F.max(F.struct("k", "c")).alias("top"), F.count("*").alias("parts")).where("parts > 1")
+        return written(own.join(written(most.select("key", F.col("top.c").alias("most")), "most"), "key"), "mixed")
+
+    for k in range(ROUNDS):
+        rows = mixed()
+        drawn = rows.where("c = most").groupBy("key").agg(F.min(F.struct(F.xxhash64(F.lit(k), "rep").alias("h"), F.col("rep").alias("rep"))).alias("m"))
+        drawn = written(drawn.select("key", F.col("m.rep").alias("b")), "drawn")
+        pairs = rows.where("c != most").select("key", F.col("rep").alias("a")).join(drawn, "key").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+        pairs = written(described(written(pairs.join(tried, ["a", "b"], "left_anti"), "met")).where(_may_link(percent)).select("a", "b"), "round")
+        if not pairs.take(1):
+            break
+        more = _confirm(pairs, docs, percent, "round")
+        tried = written(tried.unionByName(pairs), "tried")
+        if not more.take(1):
+            break
+        links = links.unionByName(more)
+        component = written(connected_components(links, "a", "b"), "components")
+    # Whatever is still apart in a bucket: each pair of two components has a member outside the largest; if both are, it is
+    # met once.
+    rows = mixed().join(size, "rep")
+    rest = written(rows.where("c != most").withColumnRenamed("rep", "a").drop("most"), "rest")
+    other = written(rows.select("key", F.col("rep").alias("b"), F.col("c").alias("c2"), F.col("n").alias("n2"), F.col("packed").alias("packed2"), "most"), "other")
+    across = rest.join(other, "key").where((F.col("c") != F.col("c2")) & ((F.col("c2") == F.col("most")) | (F.col("a") < F.col("b"))) & _may_link(percent))
+    across = across.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    across = written(across.join(tried, ["a", "b"], "left_anti"), "across")
     if across.take(1):
         more = _confirm(across, docs, percent, "across")
         component = written(connected_components(links.unionByName(more), "a", "b"), "components")
