@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.storage import written
+
 #: A key's least code points, and the least documents that hold it.
 LEAST_CHARS, LEAST_DOCS = 40, 5
 #: What is stripped from both ends of a line.
@@ -41,6 +43,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     lines = lines.select("__id", "__digest", "__at", F.xxhash64("__key").alias("__h1"), F.xxhash64(F.lit(1), "__key").alias("__h2"))
     held = lines.select("__h1", "__h2", "__id").distinct()
     common = held.groupBy("__h1", "__h2").agg(F.count("*").alias("__docs"), F.max("__id").alias("__last")).where(F.col("__docs") >= least_docs)
+    # Written, so that the join knows its size, and can split a line that very many documents hold.
+    common = written(common.select("__h1", "__h2", "__last"), "lines")
     dropped = lines.join(common, ["__h1", "__h2"]).where(F.col("__id") != F.col("__last"))
     places = dropped.groupBy("__id", "__digest").agg(F.collect_set("__at").alias("__out"))
     met = base.join(places, ["__id", "__digest"], "left")
