@@ -186,6 +186,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     reps = named.join(classes, ["hi", "lo"]).where("doc_id = rep").select("rep", "n", "keys", "packed").dropDuplicates(["rep"])
     reps = written(reps, "reps")
     size = reps.select("rep", "n", "packed")
+    bands = reps.select("rep", "n", "packed", "keys")
     members = reps.select("rep", F.explode("keys").alias("key"))
     buckets = written(members.groupBy("key").agg(F.min("rep").alias("head"), F.count("*").alias("many")).where("many > 1"), "buckets")
     # The members of buckets of two or more, which are few beside all bands of all documents.
@@ -225,12 +226,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         links = links.unionByName(more)
         component = written(connected_components(links, "a", "b"), "components")
     # Whatever is still apart in a bucket: each pair of two components has a member outside the largest; if both are, it is
-    # met once.
-    rows = mixed().join(size, "rep")
+    # met once. A pair that shares several buckets is met in that of its first common band only; if that has no third member,
+    # the pair has been tried.
+    rows = mixed().join(bands, "rep")
     rest = written(rows.where("c != most").withColumnRenamed("rep", "a").drop("most"), "rest")
-    other = written(rows.select("key", F.col("rep").alias("b"), F.col("c").alias("c2"), F.col("n").alias("n2"), F.col("packed").alias("packed2"), "most"), "other")
-    across = rest.join(other, "key").where((F.col("c") != F.col("c2")) & ((F.col("c2") == F.col("most")) | (F.col("a") < F.col("b"))) & _may_link(percent))
-    across = across.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    other = written(rows.select("key", F.col("rep").alias("b"), F.col("c").alias("c2"), F.col("n").alias("n2"), F.col("packed").alias("packed2"), F.col("keys").alias("keys2"), "most"), "other")
+    apart = (F.col("c") != F.col("c2")) & ((F.col("c2") == F.col("most")) | (F.col("a") < F.col("b")))
+    across = rest.join(other, "key").where(apart & _may_link(percent) & (F.array_intersect("keys", "keys2")[0] == rest["key"]))
+    across = across.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     across = written(across.join(tried, ["a", "b"], "left_anti"), "across")
     if across.take(1):
         more = _confirm(across, docs, percent, "across")
