@@ -32,9 +32,13 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return _with_text(out, docs)
 
 
+#: Two documents are near copies from this similarity of their five-word shingles, in percent; op4 has its own.
+NEAR = 80
+
+
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies the document with the smallest id stays, and of rows that repeat an id and text one."""
-    found = written(minhash.near_duplicates(docs).where("doc_id is not null").select("doc_id", "kept"), "near")
+    found = written(minhash.near_duplicates(docs, percent=NEAR).where("doc_id is not null").select("doc_id", "kept"), "near")
     again = found.where("kept").groupBy("doc_id").count().where("count > 1").select("doc_id")
     gone = found.where("not kept").select("doc_id").unionByName(again).distinct()
     once = docs.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])

@@ -10,7 +10,9 @@ packed bits give, corrected for chance agreement, may reach the threshold, and a
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Iterator
+from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -24,8 +26,8 @@ from millrace.storage import written
 
 #: Words of a shingle.
 WORDS = 5
-#: Bands and minima of each: a pair at 0.85 is missed by all bands once in 80,000 times.
-BANDS, ROWS = 24, 6
+#: A pair at the threshold is missed by all bands once in so many times, and all bands together hold at most so many minima.
+MISSED, BANDED = 80_000, 150
 #: Minima of a signature, the bands' first; low bits kept of each, and 64-bit numbers that hold them.
 MINIMA, BITS = 384, 4
 PACKED = MINIMA * BITS // 64
@@ -60,6 +62,20 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
+def banding(percent: int) -> tuple[int, int]:
+    """Bands and minima of each for a threshold: as many minima a band as BANDED allows, and so many bands that MISSED holds."""
+    for rows in range(BANDED, 0, -1):
+        hit = (percent / 100) ** rows
+        bands = math.ceil(-math.log(MISSED) / math.log1p(-hit)) if hit < 1 else 1
+        if bands * rows <= BANDED:
+            return bands, rows
+    raise ValueError(f"no bands for a threshold of {percent} percent")
+
+
+#: Of the threshold that op4 has.
+BANDS, ROWS = banding(85)
+
+
 def shingle_hashes(text: str | None, hashes: dict) -> np.ndarray:
     """Sorted distinct 64-bit hashes of a text's shingles; with fewer words, of all its words; none without words."""
     # A-Z only, and the split takes the space and the bytes 9 to 13.
@@ -76,20 +92,20 @@ def shingle_hashes(text: str | None, hashes: dict) -> np.ndarray:
     return np.unique(_mixed(total))
 
 
-def signature(shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def signature(shingles: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> tuple[np.ndarray, np.ndarray]:
     """Band keys and packed low bits of a non-empty set's minima."""
     minima = np.full(len(_MULTIPLY), np.iinfo(np.uint64).max, dtype=np.uint64)
     for at in range(0, len(shingles), 1024):
         x = shingles[at : at + 1024][None, :] * _MULTIPLY[:, None]
         np.minimum(minima, (x ^ (x >> np.uint64(32))).min(axis=1), out=minima)
     minima = _mixed(minima)
-    raw = minima[: BANDS * ROWS].tobytes()
-    keys = np.array([xxhash.xxh3_64_intdigest(raw[8 * ROWS * k : 8 * ROWS * (k + 1)], seed=k) for k in range(BANDS)], dtype=np.uint64)
+    raw = minima[: bands * rows].tobytes()
+    keys = np.array([xxhash.xxh3_64_intdigest(raw[8 * rows * k : 8 * rows * (k + 1)], seed=k) for k in range(bands)], dtype=np.uint64)
     low = (minima & np.uint64((1 << BITS) - 1)).reshape(PACKED, -1) << np.arange(0, 64, BITS, dtype=np.uint64)
     return keys.view(np.int64), np.bitwise_or.reduce(low, axis=1).view(np.int64)
 
 
-def _signed():
+def _signed(bands: int, rows: int):
     hashes = _Hashes()
 
     def run(texts: list[str]) -> dict:
@@ -99,7 +115,7 @@ def _signed():
             row = [len(s), None, None, None, None]
             if len(s):
                 row[1:3] = np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), np.int64).tolist()
-                row[3:] = signature(s)
+                row[3:] = signature(s, bands, rows)
             for column, x in zip(out.values(), row):
                 column.append(x)
         return out
@@ -180,7 +196,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     one document for links, so each gets the same component. Extra columns are left out; an empty table gives no rows.
     """
     docs = source(docs, id_col, text_col)
-    signed = written(map_texts(docs, _signed, "n long, hi long, lo long, keys array<long>, packed array<long>"), "signed")
+    signed = written(map_texts(docs, partial(_signed, *banding(percent)), "n long, hi long, lo long, keys array<long>, packed array<long>"), "signed")
     named = signed.where("hi is not null and doc_id is not null")
     classes = written(named.groupBy("hi", "lo").agg(F.min("doc_id").alias("rep")), "classes")
     reps = named.join(classes, ["hi", "lo"]).where("doc_id = rep").select("rep", "n", "keys", "packed").dropDuplicates(["rep"])

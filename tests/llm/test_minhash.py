@@ -62,3 +62,13 @@ def test_estimate_is_near_the_truth(spark):
         (ka, pa), (kb, pb) = minhash.signature(x), minhash.signature(y)
         row = spark.createDataFrame([(pa.tolist(), pb.tolist())], "packed array<long>, packed2 array<long>")
         assert abs(row.select(minhash.estimate("packed", "packed2").alias("e")).first().e - truth) < 0.16
+
+
+def test_bands_follow_the_threshold(spark):
+    assert minhash.banding(85) == (24, 6) and minhash.banding(80) == (29, 5)
+    for percent in range(10, 100):
+        bands, rows = minhash.banding(percent)
+        assert (1 - (percent / 100) ** rows) ** bands <= 1 / minhash.MISSED and bands * rows <= minhash.MINIMA
+    rows = made(3, 400)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), percent=80).collect()}
+    assert got == brute.near_duplicates(rows, 80) != brute.near_duplicates(rows)

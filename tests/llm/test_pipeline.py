@@ -61,5 +61,15 @@ def test_repeated_and_odd_rows(spark, sf):
             assert all(r.text for r in out)
 
 
+def test_near_copies_from_80_percent(spark, sf):
+    words = [f"w{k}" for k in range(104)]
+    # The second text of each pair holds 90, 82 and 79 of the first one's 100 shingles.
+    rows = [(10 * n + k, " ".join(f"{n}{w}" for w in words[: len(words) - k * cut]), "en", "s", 1) for n, cut in enumerate((10, 18, 21)) for k in range(2)]
+    docs = spark.createDataFrame(rows, spark.read.parquet(f"{sf}/documents.parquet").schema)
+    out = dict(corpus_pipeline.STAGES)["minhash near-dedup"](spark, docs, sf)
+    want = brute.near_duplicates([r[:2] for r in rows], 80)
+    assert sorted(r.doc_id for r in out.collect()) == sorted(i for i, (_, c) in want.items() if c == i) == [0, 10, 20, 21]
+
+
 def test_run(spark, sf):
     assert corpus_pipeline.run(spark, sf).columns == ["doc_id", "n_tokens", "ids"]
