@@ -31,10 +31,12 @@ def manufacturer_numbers(spark, d):
 
 
 def match_key_join(spark, d):
-    p = _part(spark, d).where("raw is not null and p_partkey < 1000")
-    a = p.select(F.col("p_partkey").alias("a"), X.match_key(F.concat(F.lit("S"), (F.col("p_partkey") % 200).cast("string"), F.lit("O"))).alias("key"))
-    b = p.select(F.col("p_partkey").alias("b"), X.match_key(F.concat(F.lit("5"), (F.col("p_partkey") % 300).cast("string"), F.lit("0"))).alias("key"))
-    return a.join(b, "key").groupBy("key").agg(F.count("*").alias("pairs"), F.min("a").alias("first_a"), F.max("b").alias("last_b"))
+    # Counted by key on each side first: the pairs of a key are never made.
+    p = _part(spark, d).where("raw is not null")
+    key = lambda head, n, tail: X.match_key(F.concat(F.lit(head), (F.col("p_partkey") % n).cast("string"), F.lit(tail))).alias("key")
+    a = p.groupBy(key("S", 200, "O")).agg(F.count("*").alias("n_a"), F.min("p_partkey").alias("first_a"))
+    b = p.groupBy(key("5", 300, "0")).agg(F.count("*").alias("n_b"), F.max("p_partkey").alias("last_b"))
+    return a.join(b, "key").select("key", (F.col("n_a") * F.col("n_b")).alias("pairs"), "first_a", "last_b")
 
 
 def extracted(spark, d):
