@@ -8,20 +8,22 @@ from pyspark.sql import functions as F
 from millrace.functions import vectors as V
 
 
-def search(catalogue: DataFrame, queries: DataFrame, k: int, metric: str = "cosine", where: Column | None = None) -> DataFrame:
+def search(catalogue: DataFrame, queries: DataFrame, k: int, metric: str = "cosine", where: Column | None = None, pairs: Column | str | None = None) -> DataFrame:
     """``(query_id, hit_rank, point_id, score)`` of each query's k best points, ties to the smaller id.
 
-    catalogue: point_id, embedding; queries: query_id, query. `where` filters points before they are scored. Every point
+    catalogue: point_id, embedding; queries: query_id, query. `where` filters points before they are scored, `pairs` what
+    meets by point_id and query_id. Every point
     meets every query: the set of queries is what is repeated, and Spark keeps k rows a query in each task before the
     shuffle. A query without points has no rows.
     """
     points = catalogue if where is None else catalogue.where(where)
-    scored = points.crossJoin(queries).select("query_id", "point_id", F.round(V.score(V.cosine(F.col("embedding"), F.col("query")), metric), 6).alias("score"))
+    met = points.crossJoin(queries)
+    scored = (met if pairs is None else met.where(pairs)).select("query_id", "point_id", F.round(V.score(V.cosine(F.col("embedding"), F.col("query")), metric), 6).alias("score"))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "point_id")
     return scored.withColumn("hit_rank", F.row_number().over(best)).where(F.col("hit_rank") <= k).select("query_id", "hit_rank", "point_id", "score")
 
 
-def search_hashed(catalogue: DataFrame, queries: DataFrame, k: int, tables: int = 8, length: float = 0.8, distance: float = 1.3) -> DataFrame:
+def search_hashed(catalogue: DataFrame, queries: DataFrame, k: int, tables: int = 8, length: float = 0.8, distance: float = 1.3, pairs: Column | str | None = None) -> DataFrame:
     """Approximate search: random projections deal points and queries to buckets, and those that meet are scored exactly."""
     from pyspark.ml.feature import BucketedRandomProjectionLSH
     from pyspark.ml.functions import array_to_vector
@@ -30,6 +32,7 @@ def search_hashed(catalogue: DataFrame, queries: DataFrame, k: int, tables: int
     model = BucketedRandomProjectionLSH(inputCol="u", outputCol="h", bucketLength=length, numHashTables=tables, seed=7).fit(unit(catalogue, "point_id", "embedding"))
     near = model.approxSimilarityJoin(unit(queries, "query_id", "query"), unit(catalogue, "point_id", "embedding"), distance, "d")
     near = near.select(F.col("datasetA.id").alias("query_id"), F.col("datasetB.id").alias("point_id"), F.round(1 - F.col("d") * F.col("d") / 2, 6).alias("score"))
+    near = near if pairs is None else near.where(pairs)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "point_id")
     return near.withColumn("hit_rank", F.row_number().over(best)).where(F.col("hit_rank") <= k).select("query_id", "hit_rank", "point_id", "score")
 

@@ -2,15 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.operators import fusion, retrieval
 
 
 def _split(spark, d: str) -> tuple[DataFrame, DataFrame]:
+    """All rows as points, and as queries those whose id is divisible by 50; a query's own row is no point for it (OTHERS)."""
     e = spark.read.parquet(f"{d}/embeddings.parquet")
-    return e.where("vec_id >= 20").select(F.col("vec_id").alias("point_id"), "embedding", "label"), e.where("vec_id < 20").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"), F.col("label").alias("truth"))
+    return e.select(F.col("vec_id").alias("point_id"), "embedding", "label"), e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"), F.col("label").alias("truth"))
+
+
+OTHERS = "point_id != query_id"
+
+
+def _numbered(queries: DataFrame) -> DataFrame:
+    """Queries with their place i, from 0, in the order of their ids."""
+    return queries.withColumn("i", F.row_number().over(Window.orderBy("query_id")) - 1)
 
 
 _SCORED = """
@@ -28,20 +37,20 @@ SELECT query_id, hit_rank, point_id, score FROM r WHERE hit_rank <= 10"""
 def _topk(metric: str, where=None):
     def run(spark, d):
         points, queries = _split(spark, d)
-        return retrieval.search(points, queries.select("query_id", "query"), 10, metric, where)
+        return retrieval.search(points, queries.select("query_id", "query"), 10, metric, where, OTHERS)
 
     return run
 
 
 def _lsh(spark, d):
     points, queries = _split(spark, d)
-    return retrieval.search_hashed(points.select("point_id", "embedding"), queries.select("query_id", "query"), 10)
+    return retrieval.search_hashed(points.select("point_id", "embedding"), queries.select("query_id", "query"), 10, pairs=OTHERS)
 
 
 def _hits(spark, d) -> DataFrame:
     points, queries = _split(spark, d)
     # Every point gets a rank, so that average precision is exact.
-    hits = retrieval.search(points, queries.select("query_id", "query"), 2**31 - 1)
+    hits = retrieval.search(points, queries.select("query_id", "query"), 2**31 - 1, pairs=OTHERS)
     return hits.join(points.select("point_id", F.col("label").alias("part_id")), "point_id")
 
 
@@ -63,11 +72,11 @@ def recall_map(spark, d):
 
 
 def bootstrap(spark, d):
-    return retrieval.bootstrap(per_query(spark, d).select(F.col("query_id").alias("i"), F.col("ap").alias("value")), 1000, 42)
+    return retrieval.bootstrap(_numbered(per_query(spark, d)).select("i", F.col("ap").alias("value")), 1000, 42)
 
 
 def paired(spark, d):
-    diff = per_query(spark, d).select(F.col("query_id").alias("i"), (F.col("recall_5") - F.col("recall_1")).cast("double").alias("value"))
+    diff = _numbered(per_query(spark, d)).select("i", (F.col("recall_5") - F.col("recall_1")).cast("double").alias("value"))
     return retrieval.bootstrap(diff, 2000, 0)
 
 

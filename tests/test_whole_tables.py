@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from millrace.plans import text_queries
+from millrace.plans import text_queries, vector_queries
 
 
 def rows(df):
@@ -26,3 +26,21 @@ def test_match_key_join_counts_all_of_part(spark, sf):
     sql = text_queries.ORACLE["match_key_join"].replace(" AND p_partkey < 1000", "")
     got = rows(text_queries.match_key_join(spark, sf))
     assert got == duck(sf, sql) and max(r[3] for r in got) > 1000
+
+
+def whole(sql):
+    """Queries are the ids divisible by 50, points all other rows."""
+    for cut, instead in ((" WHERE vec_id < 20", " WHERE vec_id % 50 = 0"), (" WHERE vec_id >= 20", ""), ("AS cos FROM p, q)", "AS cos FROM p, q WHERE point_id <> query_id)"), ("SELECT query_id AS i,", "SELECT row_number() OVER (ORDER BY query_id) - 1 AS i,")):
+        sql = sql.replace(cut, instead)
+    return sql
+
+
+@pytest.mark.parametrize("name", ["vector_topk_exact", "vector_topk_l2", "vector_topk_ip", "vector_topk_prefilter", "eval_per_query", "eval_recall_map", "eval_bootstrap_ci", "eval_paired_bootstrap"])
+def test_searches_take_the_whole_table(spark, sf, name):
+    got, want = rows(vector_queries.QUERIES[name](spark, sf)), duck(sf, whole(vector_queries.ORACLE[name]))
+    assert len(got) == len(want) and all(a == pytest.approx(b, abs=2e-6) for a, b in zip(got, want))
+
+
+def test_hashed_search_has_every_query(spark, sf):
+    got = vector_queries.QUERIES["vector_topk_lsh"](spark, sf).collect()
+    assert {r.query_id for r in got} == set(range(0, 500, 50)) and all(r.point_id != r.query_id for r in got) and any(r.point_id < 20 for r in got)
