@@ -101,15 +101,18 @@ def unit_norm(spark, d):
 
 
 def _fusion_input(spark, d) -> tuple[DataFrame, DataFrame]:
-    e = spark.read.parquet(f"{d}/embeddings.parquet").where("vec_id >= 20").select(F.col("vec_id").alias("point_id"), "embedding")
-    q = spark.read.parquet(f"{d}/embeddings.parquet").where("vec_id < 10").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
-    image = retrieval.search(e, q, 40).select("query_id", F.lit("image").alias("source"), (F.col("point_id") % 50).alias("product_id"), "score", "hit_rank")
-    part = spark.read.parquet(f"{d}/part.parquet").where("p_partkey < 600").withColumn("query_id", F.col("p_partkey") % 10).withColumn("product_id", F.col("p_partkey") % 50)
-    text = part.where("p_size > 10").select("query_id", F.lit("text").alias("source"), "product_id", F.round(F.col("p_size") / 50.0, 6).alias("score"), (1000 - F.col("p_size") * 10 + F.col("p_partkey") / 1000).alias("hit_rank"))
+    e, q = _split(spark, d)
+    q = _numbered(q)
+    image = retrieval.search(e, q.select("query_id", "query"), 40, pairs=OTHERS).select("query_id", F.lit("image").alias("source"), (F.col("point_id") % 50).alias("product_id"), "score", "hit_rank")
+    # Parts are dealt to all queries by their places.
+    part = spark.read.parquet(f"{d}/part.parquet").crossJoin(F.broadcast(q.agg(F.count("*").alias("n")))).where("n > 0").withColumn("i", F.col("p_partkey") % F.col("n"))
+    part = part.join(q.select("i", "query_id"), "i").withColumn("product_id", F.col("p_partkey") % 50)
+    # The key only parts equal sizes, however large it is.
+    text = part.where("p_size > 10").select("query_id", F.lit("text").alias("source"), "product_id", F.round(F.col("p_size") / 50.0, 6).alias("score"), (1000 - F.col("p_size") * 10 + F.col("p_partkey") / 1e9).alias("hit_rank"))
     cat = part.where("p_size <= 25").select("query_id", F.lit("catalog").alias("source"), "product_id", F.lit(1.0).alias("score"), F.col("p_partkey").alias("hit_rank"))
     hits = image.withColumn("hit_rank", F.col("hit_rank").cast("double")).unionByName(text).unionByName(cat.withColumn("hit_rank", F.col("hit_rank").cast("double")))
-    own = F.col("query_id") % 3 == 0
-    queries = q.select("query_id", (F.col("query_id") / 10.0).alias("confidence"), F.when(own, 0.4).alias("alpha"), F.when(own, 0.3).alias("beta"), F.when(F.col("query_id") % 6 == 0, 0.25).alias("gamma"))
+    own = F.col("i") % 3 == 0
+    queries = q.select("query_id", (F.col("i") % 10 / 10.0).alias("confidence"), F.when(own, 0.4).alias("alpha"), F.when(own, 0.3).alias("beta"), F.when(F.col("i") % 6 == 0, 0.25).alias("gamma"))
     return hits, queries
 
 

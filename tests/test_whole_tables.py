@@ -6,15 +6,19 @@ import pytest
 from millrace.plans import text_queries, vector_queries
 
 
+def order(row):
+    return [(x is None, 0 if x is None else x) for x in row]
+
+
 def rows(df):
-    return sorted(tuple(r) for r in df.collect())
+    return sorted((tuple(r) for r in df.collect()), key=order)
 
 
 def duck(sf, sql):
     with duckdb.connect() as con:
         for t in ("part", "embeddings"):
             con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf}/{t}.parquet')")
-        return sorted(con.execute(sql).fetchall())
+        return sorted(con.execute(sql).fetchall(), key=order)
 
 
 @pytest.fixture(scope="module")
@@ -44,3 +48,27 @@ def test_searches_take_the_whole_table(spark, sf, name):
 def test_hashed_search_has_every_query(spark, sf):
     got = vector_queries.QUERIES["vector_topk_lsh"](spark, sf).collect()
     assert {r.query_id for r in got} == set(range(0, 500, 50)) and all(r.point_id != r.query_id for r in got) and any(r.point_id < 20 for r in got)
+
+
+def whole_fusion(sql):
+    """As `whole`, with parts dealt to the queries by their places i, which stand for the ids 0 to 9 of the cut."""
+    start = sql.index("im AS (")
+    head, rest = sql[:start], sql[start:]
+    head = head.replace("vec_id AS query_id", "QUERY").replace("vec_id", "i").replace("QUERY", "vec_id AS query_id, i").replace("i / 10.0", "i % 10 / 10.0")
+    head = head.replace("FROM embeddings WHERE i < 10)", "FROM (SELECT *, row_number() OVER (ORDER BY vec_id) - 1 AS i FROM embeddings WHERE vec_id % 50 = 0))")
+    rest = rest.replace("WHERE vec_id >= 20", "WHERE vec_id <> query_id").replace("p_partkey < 600 AND ", "").replace("p_partkey / 1000.0::DOUBLE", "p_partkey / 1e9::DOUBLE")
+    rest = rest.replace("SELECT p_partkey % 10,", "SELECT q.query_id,").replace("FROM part WHERE p_size", "FROM part JOIN q ON q.i = p_partkey % (SELECT count(*) FROM q) WHERE p_size")
+    return head + rest
+
+
+@pytest.mark.parametrize("at", ["sf0.01", "sf0.1"])
+@pytest.mark.parametrize("name", ["fusion_weighted", "fusion_match_type", "fusion_diversity", "fusion_rerank", "fusion_details"])
+def test_fusion_takes_the_whole_tables(spark, name, at):
+    sf = f"/root/testdata/{at}"
+    df = vector_queries.QUERIES[name](spark, sf)
+    columns = sorted(df.columns)
+    want = duck(sf, f"SELECT {', '.join(columns)} FROM ({whole_fusion(vector_queries.ORACLE[name])})")
+    got = rows(df.select(*columns))
+    assert len(got) == len(want) and all(a == pytest.approx(b, abs=2e-6) for a, b in zip(got, want))
+    if "query_id" in columns:
+        assert {r[columns.index("query_id")] for r in got} == set(range(0, {"sf0.01": 500, "sf0.1": 2000}[at], 50))
