@@ -23,8 +23,11 @@ def search(catalogue: DataFrame, queries: DataFrame, k: int, metric: str = "cosi
     return scored.withColumn("hit_rank", F.row_number().over(best)).where(F.col("hit_rank") <= k).select("query_id", "hit_rank", "point_id", "score")
 
 
-def search_hashed(catalogue: DataFrame, queries: DataFrame, k: int, tables: int = 8, length: float = 0.8, distance: float = 1.3, pairs: Column | str | None = None) -> DataFrame:
-    """Approximate search: random projections deal points and queries to buckets, and those that meet are scored exactly."""
+def search_hashed(catalogue: DataFrame, queries: DataFrame, k: int, tables: int = 8, length: float = 0.8, distance: float = 2.01, pairs: Column | str | None = None) -> DataFrame:
+    """Approximate search: random projections deal points and queries to buckets, and those that meet are scored exactly.
+
+    Unit vectors are at most 2 apart, so the default distance drops none that meet.
+    """
     from pyspark.ml.feature import BucketedRandomProjectionLSH
     from pyspark.ml.functions import array_to_vector
 

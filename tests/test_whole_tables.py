@@ -72,3 +72,18 @@ def test_fusion_takes_the_whole_tables(spark, name, at):
     assert len(got) == len(want) and all(a == pytest.approx(b, abs=2e-6) for a, b in zip(got, want))
     if "query_id" in columns:
         assert {r[columns.index("query_id")] for r in got} == set(range(0, {"sf0.01": 500, "sf0.1": 2000}[at], 50))
+
+
+@pytest.mark.parametrize("at", ["sf0.01", "sf0.1"])
+def test_hashed_search_finds_nine_of_ten(spark, at):
+    exact, hashed = ([(r.query_id, r.point_id) for r in vector_queries.QUERIES[n](spark, f"/root/testdata/{at}").collect()] for n in ("vector_topk_exact", "vector_topk_lsh"))
+    assert len(hashed) == len(exact) and len(set(hashed) & set(exact)) >= 0.9 * len(exact)
+
+
+def test_hashed_search_keeps_far_points(spark):
+    from millrace.operators import retrieval
+
+    points = spark.createDataFrame([(k, [0.05, 1.0 + k]) for k in range(12)], "point_id long, embedding array<double>")
+    q = spark.createDataFrame([(1, [1.0, 0.0])], "query_id long, query array<double>")
+    got, want = retrieval.search_hashed(points, q, 10, length=9.0).collect(), retrieval.search(points, q, 10).collect()
+    assert {(r.point_id, r.score) for r in got} == {(r.point_id, r.score) for r in want} and len(got) == 10
