@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -16,21 +18,20 @@ def source(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
-def groups(texts: Iterable[str | None], chars: int) -> Iterator[list[str]]:
-    """Texts in their order, in groups of about `chars` characters; null counts as empty."""
-    group: list[str] = []
-    size = 0
-    for t in texts:
-        group.append(t or "")
-        size += len(group[-1])
-        if size >= chars:
-            yield group
-            group, size = [], 0
-    if group:
-        yield group
+def groups(texts: pa.Array, size: int) -> Iterator[tuple[int, list[str]]]:
+    """Texts in their order, in groups of about `size` bytes, with the place of each group's first; null counts as empty.
 
+    Only one group at a time is turned into Python's strings, however large the Arrow batch is.
+    """
+    at, ends = 0, np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
+    while at < len(texts):
+        before = ends[at - 1] if at else 0
+        to = min(len(texts), int(np.searchsorted(ends, before + size)) + 1)
+        yield at, [t or "" for t in texts.slice(at, to - at).to_pylist()]
+        at = to
 
-def map_texts(docs: DataFrame, make: Callable[[], Callable[[list[str]], dict]], schema: str, chars: int = 4_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+
+def map_texts(docs: DataFrame, make: Callable[[], Callable[[list[str]], dict]], schema: str, size: int = 4_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows ``(doc_id, *schema)``: ``make()`` is called once a task and gives a function of a group of texts to columns."""
     struct = StructType.fromDDL(f"doc_id long, {schema}")
     arrow = to_arrow_schema(struct)
@@ -38,24 +39,23 @@ def map_texts(docs: DataFrame, make: Callable[[], Callable[[list[str]], dict]],
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
         for batch in batches:
-            ids, texts, at = batch.column(0), batch.column(1).to_pylist(), 0
-            for group in groups(texts, chars):
+            ids = batch.column(0)
+            for at, group in groups(batch.column(1), size):
                 columns = work(group)
                 arrays = [pa.array(columns[f.name], f.type) for f in arrow if f.name != "doc_id"]
                 yield pa.RecordBatch.from_arrays([ids.slice(at, len(group)), *arrays], schema=arrow)
-                at += len(group)
 
     return source(docs, id_col, text_col).mapInArrow(run, struct)
 
 
-def filter_texts(docs: DataFrame, make: Callable[[], Callable[[list[str]], list[bool]]], text_col: str = "text", chars: int = 4_000_000) -> DataFrame:
+def filter_texts(docs: DataFrame, make: Callable[[], Callable[[list[str]], list[bool]]], text_col: str = "text", size: int = 4_000_000) -> DataFrame:
     """Rows of `docs`, with all their columns, for which the function that ``make()`` gives says so of their text."""
-    at = docs.columns.index(text_col)
+    place = docs.columns.index(text_col)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
         for batch in batches:
-            mask = [x for group in groups(batch.column(at).to_pylist(), chars) for x in work(group)]
-            yield batch.filter(pa.array(mask, pa.bool_()))
+            for at, group in groups(batch.column(place), size):
+                yield batch.slice(at, len(group)).filter(pa.array(work(group), pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

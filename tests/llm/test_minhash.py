@@ -52,16 +52,38 @@ def test_odd_rows(spark):
     assert minhash.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
 
-def test_estimate_is_near_the_truth(spark):
+def test_estimate_is_near_the_truth():
     rng = random.Random(7)
     a = [f"t{rng.randrange(10**6)}" for _ in range(600)]
     for share in (0.3, 0.85, 1.0):
         b = [x if rng.random() < share ** 0.2 else f"u{rng.randrange(10**6)}" for x in a]
         x, y = (minhash.shingle_hashes(" ".join(w), minhash._Hashes()) for w in (a, b))
         truth = len(np.intersect1d(x, y)) / len(np.union1d(x, y))
-        (ka, pa), (kb, pb) = minhash.signature(x), minhash.signature(y)
-        row = spark.createDataFrame([(pa.tolist(), pb.tolist())], "packed array<long>, packed2 array<long>")
-        assert abs(row.select(minhash.estimate("packed", "packed2").alias("e")).first().e - truth) < 0.16
+        assert abs(float(minhash.estimate(minhash.signature(x)[1], minhash.signature(y)[1])) - truth) < 0.16
+
+
+def test_large_family_in_blocks(spark, monkeypatch):
+    # Families and buckets larger than a block: every block meets the first, then what is outside the largest component the rest.
+    rows = made(5, 300)
+    words = [f"y{k}" for k in range(400)]
+    rows += [(1000 + k, " ".join(words[3 * k : 3 * k + 100])) for k in range(90)]
+    rows += [(2000 + k, " ".join([*words[:150], *(f"z{k}{j}" for j in range(k % 26))])) for k in range(60)]
+    for percent in (85, 80):
+        want = brute.near_duplicates(rows, percent)
+        for block, shingles in ((8, 2**19), (1024, 700)):
+            monkeypatch.setattr(minhash, "BLOCK", block)
+            monkeypatch.setattr(minhash, "BLOCK_SHINGLES", shingles)
+            got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), percent=percent).collect()}
+            assert got == want
+
+
+def test_repeated_ids_with_other_texts(spark):
+    words = [f"w{k}" for k in range(60)]
+    near = lambda base, k: " ".join([*(f"{base}{w}" for w in words), f"end{k}"])
+    # 5 stands for two texts, each with a near copy: all are one component, through the repeated id.
+    rows = [(5, near("a", 0)), (5, near("b", 0)), (3, near("a", 1)), (9, near("b", 2)), (7, near("c", 0)), (5, near("b", 0))]
+    got = sorted((r.doc_id, r.component_id, r.kept) for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(3, 3, True), (5, 3, False), (5, 3, False), (5, 3, False), (7, 7, True), (9, 3, False)]
 
 
 def test_bands_follow_the_threshold(spark):
