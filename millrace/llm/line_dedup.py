@@ -60,11 +60,11 @@ def op6(spark, sf_dir: str) -> DataFrame:
 
 ORACLE_OP6 = r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
-l AS (SELECT doc_id, unnest(split(text, chr(10))) AS line, unnest(generate_series(1, len(split(text, chr(10))))) AS at FROM d),
-k AS (SELECT doc_id, at, line, translate(trim(line, chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' '), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+l AS (SELECT doc_id, unnest(split(text, chr(10))) AS line, unnest(generate_series(1, len(split(text, chr(10))))) AS pos FROM d),
+k AS (SELECT doc_id, pos, line, translate(trim(line, chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' '), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
 c AS (SELECT key, max(doc_id) AS last FROM k WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT doc_id) >= 5),
-m AS (SELECT k.doc_id, k.at, k.line, c.key IS NOT NULL AND k.doc_id <> c.last AS dropped FROM k LEFT JOIN c ON k.key = c.key)
+m AS (SELECT k.doc_id, k.pos, k.line, c.key IS NOT NULL AND k.doc_id <> c.last AS dropped FROM k LEFT JOIN c ON k.key = c.key)
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (dropped) AS n_dropped,
-       sha256(coalesce(string_agg(line, chr(10) ORDER BY at) FILTER (NOT dropped), '')) AS kept_sha256
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT dropped), '')) AS kept_sha256
 FROM m GROUP BY doc_id
 """
