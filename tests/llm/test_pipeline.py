@@ -24,7 +24,7 @@ def test_stages_one_by_one(spark, sf):
     assert all(r.n_chars == len(r.text) for r in lines.collect())
 
     once = steps["minhash near-dedup"](spark, lines, sf).cache()
-    groups = brute.near_duplicates(list(want.items()))
+    groups = brute.near_duplicates(list(want.items()), corpus_pipeline.NEAR)
     assert sorted(r.doc_id for r in once.collect()) == sorted(i for i, (_, c) in groups.items() if c == i)
 
     mix = steps["mixing sources"](spark, once, sf).cache()
