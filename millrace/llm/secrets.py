@@ -2,9 +2,9 @@
 
 Each rule's regex is parsed to a syntax tree. From the trees, turned round, one nondeterministic automaton is made, with a
 loop before it, and from that by subset construction and minimisation one deterministic automaton over bytes: reading a
-text once from its end, its states say at which places a match of which rule starts. Reading goes by transition arrays in
-a single pass over the bytes; a text without any start, as most are, is done with it. Where a match starts, a forward
-automaton of the rule, made the same way, gives its longest end.
+text once from its end, its states say at which places a match of which rule starts. Reading goes by transition arrays,
+stretch by stretch, in one pass over the bytes for all rules; only a stretch in which something starts is looked at place
+by place. From a start a second automaton of all rules, made the same way, gives the longest end of each.
 """
 
 from __future__ import annotations
@@ -40,9 +40,24 @@ class Rule:
 #: the regex, which changes nothing as a run's first start always has its longest match.
 BASE = (
     Rule("assign", r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?""", r"[A-Za-z0-9+/_.=-]+", 6, True),
-    Rule("access", r"AKIA", r"[A-Z0-9]{16,}"),
+    Rule("access", r"AKIA", r"[A-Z0-9]+", 16),
     Rule("hex", r"", r"[0-9a-f]{24,}"),
 )
+#: What is found beside: keys and tokens of well-known shapes, by their public formats.
+MORE = (
+    Rule("private_key", r"-----BEGIN\x20([A-Z]+\x20)*", r"PRIVATE\x20KEY-----"),
+    Rule("bearer", r"bearer\x20+", r"[A-Za-z0-9._~+/=-]+", 20, True),
+    Rule("jwt", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.", r"[A-Za-z0-9_-]+", 8),
+    Rule("github", r"gh[pousr]_", r"[A-Za-z0-9]+", 36),
+    Rule("slack", r"xox[abprs]-", r"[A-Za-z0-9-]+", 10),
+    Rule("google", r"AIza", r"[A-Za-z0-9_-]+", 35),
+    Rule("stripe", r"[rs]k_(live|test)_", r"[A-Za-z0-9]+", 16),
+    Rule("url_login", r"[a-z]+://[A-Za-z0-9._-]+:", r"[A-Za-z0-9!$%&*+,.;=_~-]+@", 5),
+)
+#: All rules; base first, so that spans of one start stand in this order.
+RULES = BASE + MORE
+#: Bytes of a stretch.
+STRETCH = 2_048
 
 
 # --- regex to tree -----------------------------------------------------------------------------------------------------
@@ -269,47 +284,66 @@ def _rows(table: np.ndarray) -> list[list]:
 
 
 class Scanner:
-    def __init__(self, rules: tuple[Rule, ...] = BASE):
+    def __init__(self, rules: tuple[Rule, ...] = RULES):
         self.rules = rules
         whole = [("cat", [parse(r.head, r.fold), parse(r.value)]) for r in rules]
         self.table, self.accept = compile_trees([turned(t) for t in whole], anywhere=True)
         self.rows = _rows(self.table)
-        # For the first look, a state that accepts keeps to itself.
+        self.number = {id(row): k for k, row in enumerate(self.rows)}
+        # For the first look at a stretch, a state that accepts keeps to itself.
         stop = self.table.copy()
         hits = np.flatnonzero(self.accept)
         stop[hits] = hits[:, None]
         self.quick = _rows(stop)
-        self.hit = {id(self.quick[s]) for s in hits.tolist()}
+        self.place = {id(row): k for k, row in enumerate(self.quick)}
         self.starts = {id(self.rows[s]): int(self.accept[s]) for s in hits.tolist()}
-        self.forward = [compile_trees([t], anywhere=False) for t in whole]
-        self.heads = [compile_trees([parse(r.head, r.fold)], anywhere=False) for r in rules]
+        self.whole, self.heads = (_forward(trees) for trees in (whole, [parse(r.head, r.fold) for r in rules]))
 
-    @staticmethod
-    def _longest(machine: tuple[np.ndarray, np.ndarray], data: bytes, at: int) -> int:
-        table, accept = machine
-        state, end = 0, at if accept[0] else -1
+    def _ends(self, machine: tuple, data: bytes, at: int, kinds: int) -> list[int]:
+        """Longest end of each rule whose match starts at `at`; -1 for those without."""
+        rows, accept, dead = machine
+        row = rows[0]
+        ends = [at if accept[id(row)] >> k & 1 else -1 for k in range(len(self.rules))]
         for k in range(at, len(data)):
-            state = table[state, data[k]]
-            if accept[state]:
-                end = k + 1
-            elif (table[state] == state).all():  # nothing can match any more
+            row = row[data[k]]
+            if hit := accept[id(row)]:
+                for r in range(len(ends)):
+                    if hit >> r & 1:
+                        ends[r] = k + 1
+            if not dead[id(row)] & kinds:
                 break
-        return end
+        return ends
 
     def spans(self, text: str | None) -> list[tuple[int, int, int]]:
         """(start, rule, end) in code points, sorted."""
-        data = (text or "").encode("utf-8", "surrogatepass")[::-1]
-        if id(reduce(getitem, data, self.quick[0])) not in self.hit:
+        data = (text or "").encode("utf-8", "surrogatepass")
+        turned_data, n, starts = data[::-1], len(data), self.starts
+        state, found = 0, []
+        for at in range(0, n, STRETCH):
+            part = turned_data[at : at + STRETCH]
+            after = self.place[id(reduce(getitem, part, self.quick[state]))]
+            if self.accept[after]:
+                steps = list(accumulate(part, getitem, initial=self.rows[state]))
+                found += [(n - at - k, starts[id(row)]) for k, row in enumerate(steps) if k and id(row) in starts]
+                after = self.number[id(steps[-1])]
+                # A stretch that begins in a state that accepts would keep to it.
+                if self.accept[after]:
+                    state = after
+                    continue
+            state = after
+        if not found:
             return []
-        n, starts = len(data), self.starts
-        found = [(n - k, starts[i]) for k, i in enumerate(map(id, accumulate(data, getitem, initial=self.rows[0]))) if i in starts]
-        data, ended, out = data[::-1], [0] * len(self.rules), []
+        ended, out = [0] * len(self.rules), []
         for start, kinds in reversed(found):
+            live = sum(1 << k for k in range(len(self.rules)) if kinds >> k & 1 and start >= ended[k])
+            if not live:
+                continue
+            ends, heads = self._ends(self.whole, data, start, live), self._ends(self.heads, data, start, live)
             for k, rule in enumerate(self.rules):
-                if kinds >> k & 1 and start >= ended[k]:
-                    end = ended[k] = self._longest(self.forward[k], data, start)
-                    if end - self._longest(self.heads[k], data, start) >= rule.least:
-                        out.append((start, k, end))
+                if live >> k & 1:
+                    ended[k] = ends[k]
+                    if ends[k] - heads[k] >= rule.least:
+                        out.append((start, k, ends[k]))
         if len(data) != len(text):
             # From bytes to code points: those before a place are the bytes that don't continue one.
             place = np.concatenate([[0], np.cumsum((np.frombuffer(data, np.uint8) & 0xC0) != 0x80)])
@@ -317,12 +351,26 @@ class Scanner:
         return sorted(out)
 
 
+def _forward(trees: list[tuple]) -> tuple[list, dict[int, int], dict[int, int]]:
+    """Transition arrays of all trees read from one place; by array, which trees end there and which may still end later."""
+    table, accept = compile_trees(trees, anywhere=False)
+    live = accept.copy()
+    while True:
+        more = live | np.bitwise_or.reduce(live[table], axis=1)
+        if np.array_equal(more, live):
+            break
+        live = more
+    later = np.bitwise_or.reduce(live[table], axis=1)
+    rows = _rows(table)
+    return rows, {id(r): int(a) for r, a in zip(rows, accept)}, {id(r): int(x) for r, x in zip(rows, later)}
+
+
 @cache
 def _scanner(rules: tuple[Rule, ...]) -> Scanner:
     return Scanner(rules)
 
 
-def scan(docs: DataFrame, rules: tuple[Rule, ...] = BASE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, spans)``: every document, with an array of ``(kind, start, end)`` in code points, end exclusive.
 
     Sorted by start, then by the rules' order. Null and empty texts have none; a null id stays null; repeated rows and
@@ -340,7 +388,7 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = BASE, id_col: str = "doc_id"
     return map_texts(docs, make, "spans array<struct<kind:string,start:long,end:long>>", id_col=id_col, text_col=text_col)
 
 
-def digests(docs: DataFrame, rules: tuple[Rule, ...] = BASE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def digests(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Counts of the base kinds, the digest of their spans and all spans as text, for every document; see `scan`."""
     base = {r.kind for r in BASE}
 
@@ -365,3 +413,30 @@ def digests(docs: DataFrame, rules: tuple[Rule, ...] = BASE, id_col: str = "doc_
 
 def op5(spark, sf_dir: str) -> DataFrame:
     return digests(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def _sql_pattern(rule: Rule) -> str:
+    """The rule for DuckDB: its head and value as two groups, letters of either case written out."""
+    out, k = "", 0
+    while k < len(rule.head):
+        c = rule.head[k]
+        if c == "\\":
+            out, k = out + rule.head[k : k + 4], k + 4
+            continue
+        out += f"[{c.lower()}{c.upper()}]" if rule.fold and c.isalpha() else "(?:" if c == "(" else c
+        k += 1
+    return f"({out})({rule.value})".replace("'", "''")
+
+
+#: Matches and what stands between them, rule by rule; a match begins after all that comes before it.
+_SQL_MATCHES = " UNION ALL ".join(f"SELECT doc_id, {k} AS k, '{r.kind}' AS kind, {r.least} AS least, regexp_split_to_array(t, '{_sql_pattern(r)}') AS gaps, regexp_extract_all(t, '{_sql_pattern(r)}') AS found, regexp_extract_all(t, '{_sql_pattern(r)}', 2) AS val FROM d" for k, r in enumerate(RULES))
+ORACLE_OP5 = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+m AS ({_SQL_MATCHES}),
+u AS (SELECT doc_id, k, kind, least, unnest(range(1, len(found) + 1)) AS i, unnest(found) AS f, unnest(val) AS v, unnest(gaps[:len(found)]) AS g FROM m WHERE len(found) > 0),
+p AS (SELECT *, sum(length(g)) OVER w + sum(length(f)) OVER w - length(f) AS a FROM u WINDOW w AS (PARTITION BY doc_id, k ORDER BY i ROWS UNBOUNDED PRECEDING)),
+q AS (SELECT doc_id, k, kind, a, kind || ':' || a::BIGINT || ':' || (a + length(f))::BIGINT AS span FROM p WHERE length(v) >= least),
+g AS (SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+  string_agg(span, ',' ORDER BY a, k) FILTER (k < {len(BASE)}) AS base, string_agg(span, ',' ORDER BY a, k) AS spans FROM q GROUP BY doc_id)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN g USING (doc_id)
+"""
