@@ -84,3 +84,29 @@ def test_pieces_add_up(spark, sf):
     taken = {r.doc_id: r.taken for r in mixing.mix(docs).collect() if r.taken}
     pieces = mixing.schedule(docs).selectExpr("doc_id", "end - begin AS n").groupBy("doc_id").sum("n").collect()
     assert {r.doc_id: r["sum(n)"] for r in pieces} == taken
+
+
+@pytest.mark.parametrize("at", ["sf0.001", "sf0.01"])
+def test_sql(spark, at):
+    from tests.llm.duck import same_rows
+
+    same_rows(mixing.op7(spark, f"/root/testdata/{at}"), mixing.ORACLE_OP7, f"/root/testdata/{at}")
+
+
+def test_repeated_rows_and_clashing_names(spark):
+    # Rows of one id, text and source; rows of one id and text in two sources; columns named like the operator's own.
+    rows = [(1, "a b c d", "s", "x")] * 200 + [(1, "a b c d", "t", "y"), (1, "other words", "s", "z"), (2, " \n", "s", "w"), (3, "p q\nr  s", "t", "v")]
+    docs = spark.createDataFrame([(*r, 1, "h", 7) for r in rows], "doc_id long, text string, source string, lang string, size int, h string, many int")
+    taken = defaultdict(int)
+    for r in mixing.mix(docs).collect():
+        taken[r.doc_id, r.size, r.source_size] += r.taken
+    out = mixing.mixed_documents(docs)
+    assert out.columns == docs.columns
+    got = defaultdict(int)
+    for r in out.collect():
+        assert (r.lang, r.source) in {("x", "s"), ("y", "t"), ("z", "s"), ("v", "t")} and r.h == "h"
+        whole = next(t for i, t, s, la in rows if la == r.lang)
+        assert whole.startswith(r.text) and r.text
+        got[r.source] += words(r.text)
+    sizes = {"s": 802, "t": 8}
+    assert {s: sum(n for (_, _, size), n in taken.items() if size == sizes[s]) for s in sizes} == got
