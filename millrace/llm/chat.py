@@ -12,7 +12,7 @@ In roles and texts ``~`` becomes ``~0`` and ``<|`` becomes ``~1``, in roles a li
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: The marks of the template.
@@ -43,18 +43,23 @@ def windows(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn",
     exceeds its stretch by its last turn at most, and a turn is never cut, however long. Repeated rows are turns. Rows
     without a conversation id are one conversation. Extra columns are left out; an empty table gives no rows.
 
-    A conversation is put together in one row, as its windows ask; conversations are spread by id.
+    Prefix sums of tokens and characters are running sums over a conversation's sorted turns, so nothing grows with the square
+    of its length. A conversation is put together in one row, as its windows ask; conversations are spread by id.
     """
     role, text = (F.coalesce(F.col(c).cast("string"), F.lit("")) for c in (role_col, text_col))
     rows = turns.select(F.col(conv_col).cast("long").alias("conv_id"), F.col(turn_col).cast("long").alias("turn"), role.alias("role"), text.alias("text"))
     tokens = (F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")) + 3).cast("long")
     head = F.concat(F.lit(BEGIN), F.replace(escape(F.col("role")), F.lit("\n"), F.lit("~2")), F.lit("\n"))
-    rows = rows.select("conv_id", F.struct("turn", "role", "text", tokens.alias("tokens"), head.alias("head"), escape(F.col("text")).alias("body")).alias("t"))
+    rows = rows.select("conv_id", "turn", "role", "text", tokens.alias("tokens"), head.alias("head"), escape(F.col("text")).alias("body"))
+    rows = rows.withColumn("long", (F.char_length("head") + F.char_length("body") + len(END)).cast("long"))
+    order = Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_first(), "role", "text")
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    # Where a turn stands, and where it begins in tokens and in characters of all turns.
+    place = {"pos": F.row_number().over(order), "begins": F.coalesce(F.sum("tokens").over(before), F.lit(0)), "at": F.coalesce(F.sum("long").over(before), F.lit(0))}
+    rows = rows.withColumns(place).select("conv_id", F.struct("pos", "begins", "at", "long", "role", "head", "body").alias("t"))
     conv = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("turns"))
-    # Where each turn begins, in tokens.
-    begins = F.aggregate("turns", F.array(F.lit(0).cast("long")), lambda a, t: F.concat(a, F.array(F.element_at(a, -1) + t["tokens"])))
-    conv = conv.withColumn("begins", begins)
-    cuts = F.filter(F.sequence(F.lit(1), F.size("turns")), lambda k: (k == 1) | (F.floor(F.element_at("begins", k) / stretch) != F.floor(F.element_at("begins", k - 1) / stretch)))
+    begins = lambda k: F.element_at("turns", k)["begins"]
+    cuts = F.filter(F.sequence(F.lit(1), F.size("turns")), lambda k: (k == 1) | (F.floor(begins(k) / stretch) != F.floor(begins(F.greatest(k - 1, F.lit(1))) / stretch)))
     conv = conv.withColumn("cuts", cuts).withColumn("system", (F.element_at("turns", 1)["role"] == "system").cast("int"))
 
     def window(k: Column) -> Column:
@@ -62,19 +67,19 @@ def windows(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn",
         after = F.when(k < F.size("cuts"), F.element_at("cuts", F.least(k + 1, F.size("cuts")))).otherwise(F.size("turns") + 1)
         # The earliest turn of the history: neither too many turns nor too many tokens before the span.
         options = F.sequence(F.greatest(first - history, F.col("system") + 1), F.greatest(first, F.col("system") + 1))
-        near = F.filter(options, lambda h: (h < first) & (F.element_at("begins", first) - F.element_at("begins", h) <= history_tokens))
+        near = F.filter(options, lambda h: (h < first) & (begins(first) - begins(h) <= history_tokens))
         start = F.when(first > F.col("system") + 1, F.coalesce(F.get(near, F.lit(0)), first)).otherwise(first)
         context = F.concat(F.when((first > 1) & (F.col("system") == 1), F.slice("turns", 1, 1)).otherwise(F.slice("turns", 1, 0)), F.slice("turns", start, first - start))
         return F.struct(context.alias("context"), F.slice("turns", first, after - first).alias("span"))
 
     spans = F.transform(F.sequence(F.lit(1), F.size("cuts")), window)
     whole = lambda t: F.concat(t["head"], t["body"], F.lit(END))
-    long = lambda t: (F.char_length(t["head"]) + F.char_length(t["body"]) + len(END)).cast("long")
 
     def formatted(w: Column) -> Column:
-        before = _sum(w["context"], long)
-        at = F.aggregate(w["span"], F.struct(before.alias("at"), F.array().cast("array<struct<start:long,length:long>>").alias("out")), lambda a, t: F.struct((a["at"] + long(t)).alias("at"), F.when(t["role"] == "assistant", F.concat(a["out"], F.array(F.struct((a["at"] + F.char_length(t["head"])).alias("start"), F.char_length(t["body"]).cast("long").alias("length"))))).otherwise(a["out"]).alias("out")), lambda a: a["out"])
-        return F.struct(F.array_join(F.transform(F.concat(w["context"], w["span"]), whole), "").alias("text"), F.size(w["context"]).alias("context"), at.alias("targets"))
+        # The span's turns stand together, after the context.
+        shift = _sum(w["context"], lambda t: t["long"]) - F.element_at(w["span"], 1)["at"]
+        learned = F.transform(F.filter(w["span"], lambda t: t["role"] == "assistant"), lambda t: F.struct((shift + t["at"] + F.char_length(t["head"])).alias("start"), F.char_length(t["body"]).cast("long").alias("length")))
+        return F.struct(F.array_join(F.transform(F.concat(w["context"], w["span"]), whole), "").alias("text"), F.size(w["context"]).alias("context"), learned.alias("targets"))
 
     return conv.withColumn("spans", spans).select("conv_id", F.transform("spans", formatted).alias("windows"))
 
@@ -100,12 +105,27 @@ def read_back(formatted: DataFrame) -> DataFrame:
 
 #: The conversation that holds another template's marks in its texts.
 MARKED = [(-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[INST] ok [/INST]")]
+_MARKED_SQL = "SELECT * FROM VALUES " + ", ".join(f"(CAST({c} AS BIGINT), CAST({t} AS BIGINT), '{r}', '{x}')" for c, t, r, x in MARKED) + " AS t(conv_id, turn, role, text)"
 
 
 def op9(spark, sf_dir: str) -> DataFrame:
-    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
-    rows = rows.unionByName(spark.createDataFrame(MARKED, "conv_id long, turn long, role string, text string"))
-    back = read_back(windows(rows))
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
+    back = read_back(windows(rows.unionByName(spark.sql(_MARKED_SQL))))
     joined = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     loss = F.array_join("learned", "")
     return back.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(joined, 256).alias("turns_sha256"), F.char_length(loss).cast("long").alias("loss_chars"), F.sha2(loss, 256).alias("loss_sha256"), _sum(F.col("windows"), lambda w: F.char_length(w["text"])).alias("formatted_chars"))
+
+
+ORACLE_OP9 = f"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT * FROM (VALUES {", ".join(f"({c}, {t}, '{r}', '{x}')" for c, t, r, x in MARKED)}) v(conv_id, turn, role, text)),
+t AS (SELECT *, len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')) + 3 AS tokens,
+  {len(BEGIN) + 1 + len(END)} + length(replace(replace(replace(role, '~', '~0'), '<|', '~1'), chr(10), '~2')) + length(replace(replace(text, '~', '~0'), '<|', '~1')) AS long,
+  row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS pos FROM c),
+b AS (SELECT *, sum(tokens) OVER (PARTITION BY conv_id ORDER BY pos ROWS UNBOUNDED PRECEDING) - tokens AS begins, max(CASE WHEN pos = 1 AND role = 'system' THEN long ELSE 0 END) OVER (PARTITION BY conv_id) AS system FROM t),
+k AS (SELECT *, pos > 1 AND begins // {STRETCH} <> lag(begins) OVER (PARTITION BY conv_id ORDER BY pos) // {STRETCH} AS cut FROM b),
+h AS (SELECT x.conv_id, sum(y.long) AS history FROM k x JOIN k y ON x.conv_id = y.conv_id AND x.cut AND y.pos BETWEEN greatest(x.pos - {HISTORY}, (x.system > 0)::INT + 1) AND x.pos - 1 AND x.begins - y.begins <= {HISTORY_TOKENS} GROUP BY 1),
+g AS (SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY pos)) AS turns_sha256,
+  coalesce(string_agg(text, '' ORDER BY pos) FILTER (role = 'assistant'), '') AS loss, sum(long) + sum(CASE WHEN cut THEN system ELSE 0 END) AS chars FROM k GROUP BY conv_id)
+SELECT g.conv_id, n_turns, turns_sha256, length(loss)::BIGINT AS loss_chars, sha256(loss) AS loss_sha256, (chars + coalesce(history, 0))::BIGINT AS formatted_chars FROM g LEFT JOIN h USING (conv_id)
+"""

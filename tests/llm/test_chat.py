@@ -58,3 +58,16 @@ def test_digests(spark, sf):
         loss = "".join(t for _, role, t in turns if role == "assistant")
         assert (r.n_turns, r.loss_chars) == (len(turns), len(loss)) and r.loss_sha256 == sha(loss)
         assert r.turns_sha256 == sha("".join(f"{role}\n{t}\n" for _, role, t in turns))
+
+
+def test_sql(spark):
+    from tests.llm.duck import same_rows
+
+    same_rows(chat.op9(spark, "/root/testdata/sf0.01"), chat.ORACLE_OP9, "/root/testdata/sf0.01")
+
+
+def test_long_conversation_and_long_turn(spark):
+    rows = [(1, 0, "system", "s")] + [(1, k, "assistant" if k % 2 else "user", f"turn {k}") for k in range(1, 3000)] + [(1, 3000, "assistant", "long " * 200_000), (1, 3001, "user", "after")]
+    got = check(spark, rows)
+    # The long turn is whole, in a window of its own span.
+    assert sum(len(w.text) > 1_000_000 for w in got[1].windows) == 1
