@@ -2,8 +2,8 @@
 
 The corpus' words are counted over all documents; the most frequent ones, with the ids they encode to, are compiled into
 a minimal acyclic automaton whose arcs carry numbers that add up to a word's place in a table of ids, so that equal
-suffixes share their states. The automaton is one file in the shared folder, which Spark hands to every executor and each
-worker maps into memory. A word that it lacks is merged exactly, by rank. Words met before are kept in a bounded memo.
+suffixes share their states. It is compiled in one task; the automaton and the tokenizer are files in the shared folder,
+which Spark hands to every executor and each worker maps into memory. A word that it lacks is merged exactly, by rank. Words met before are kept in a bounded memo.
 """
 
 from __future__ import annotations
@@ -27,18 +27,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm.texts import map_texts
-from millrace.storage import shared_dir
+from millrace.storage import shared_dir, written
 
 #: The pattern that splits text before the merges.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Words of the lexicon at most, bytes of a word of it, entries of a worker's memo, and words counted before they are passed on.
 LEXICON_WORDS, LEXICON_BYTES, MEMO, COUNTED = 32_768, 48, 600_000, 400_000
+#: Classes of frequency for each doubling.
+FREQUENCY_CLASSES = 64
 #: The rank of a pair that never merges.
 NEVER = 1 << 62
 #: Marks that are one word after letters.
 PUNCTUATION = frozenset(".,;:!?")
-#: Characters of the texts that are encoded together.
-GROUP_CHARS = 4_000_000
+#: Bytes of the texts that are encoded together.
+GROUP_BYTES = 4_000_000
 MAGIC = b"millrace lexicon 1".ljust(32)
 
 
@@ -385,17 +387,24 @@ def _counted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush()
 
 
-def frequent_words(docs: DataFrame, text_col: str = "text", words: int = LEXICON_WORDS) -> list[bytes]:
-    """The words of the most frequent pieces of all texts, ties by their text; `words` pieces at most reach the driver."""
+def frequent_pieces(docs: DataFrame, text_col: str = "text", words: int = LEXICON_WORDS) -> DataFrame:
+    """``(piece, n)``: at most `words` of the pieces that all texts hold twice or more, the most frequent, whole classes of
+    about equal frequency at a time. Only the classes' sizes reach the driver, a few thousand numbers at any size."""
     counts = docs.select(F.col(text_col).cast("string").alias("text")).where("text != ''").mapInArrow(_counted, "piece string, n long")
-    top = counts.where(F.octet_length("piece") < LEXICON_BYTES).groupBy("piece").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "piece").limit(words)
-    found = dict.fromkeys(w for r in top.collect() for w in split_piece(" " + r.piece))
-    return [w.encode("utf-8", "surrogatepass") for w in found]
-
-
-def publish_lexicon(spark: SparkSession, block: bytes) -> str:
-    """Write the lexicon to the shared folder and have Spark hand it to every executor; the file's name, by content."""
-    name = f"lexicon-{hashlib.sha256(block).hexdigest()[:16]}.bin"
+    counts = counts.where(F.octet_length("piece") < LEXICON_BYTES).groupBy("piece").agg(F.sum("n").alias("n")).where("n > 1")
+    counts = written(counts.withColumn("class", F.floor(F.log2("n") * FREQUENCY_CLASSES).cast("int")), "pieces")
+    sizes = sorted(((r["class"], r["n"]) for r in counts.groupBy("class").agg(F.count("*").alias("n")).collect()), reverse=True)
+    least, held = 1 << 30, 0
+    for k, n in sizes:
+        if held + n > words:
+            break
+        least, held = k, held + n
+    return counts.where(F.col("class") >= least).select("piece", "n")
+
+
+def publish(spark: SparkSession, block: bytes, kind: str) -> str:
+    """Write a file to the shared folder and have Spark hand it to every executor; the file's name, by content."""
+    name = f"{kind}-{hashlib.sha256(block).hexdigest()[:16]}.bin"
     uri = f"{shared_dir(spark).rstrip('/')}/millrace/{name}"
     jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     path = jvm.org.apache.hadoop.fs.Path(uri)
@@ -409,6 +418,7 @@ def publish_lexicon(spark: SparkSession, block: bytes) -> str:
             out.close()
         if not fs.rename(part, path) and not fs.exists(path):
             raise OSError(f"can't write {uri}")
+        fs.deleteOnExit(path)
     if name not in (f.rsplit("/", 1)[-1] for f in spark.sparkContext.listFiles):
         spark.sparkContext.addFile(str(fs.makeQualified(path).toString()))
     return name
@@ -418,17 +428,27 @@ def publish_lexicon(spark: SparkSession, block: bytes) -> str:
 _ENCODERS: dict[tuple[str, str], Encoder] = {}
 
 
-def _encoder(name: str, path: str) -> Encoder:
-    if (name, path) not in _ENCODERS:
+def _encoder(lexicon: str, tokenizer: str) -> Encoder:
+    if (lexicon, tokenizer) not in _ENCODERS:
         _ENCODERS.clear()
-        _ENCODERS[name, path] = Encoder(Vocabulary(path), Lexicon.mapped(SparkFiles.get(name)))
-    return _ENCODERS[name, path]
+        _ENCODERS[lexicon, tokenizer] = Encoder(Vocabulary(SparkFiles.get(tokenizer)), Lexicon.mapped(SparkFiles.get(lexicon)))
+    return _ENCODERS[lexicon, tokenizer]
+
 
+def _published(docs: DataFrame, text_col: str, path: str, words: int) -> tuple[str, str]:
+    """Names of the lexicon's and the tokenizer's files; the lexicon is compiled from at most `words` pieces by one task."""
+    spark = docs.sparkSession
+    with open(path, "rb") as f:
+        tokenizer = publish(spark, f.read(), "tokenizer")
 
-def _lexicon_for(docs: DataFrame, text_col: str, path: str, words: int) -> str:
-    vocabulary = Vocabulary(path)
-    block = compile_lexicon({w: vocabulary.merge(w) for w in frequent_words(docs, text_col, words)})
-    return publish_lexicon(docs.sparkSession, block)
+    def compiled(table: pa.Table) -> pa.Table:
+        vocabulary = Vocabulary(SparkFiles.get(tokenizer))
+        found = dict.fromkeys(w.encode("utf-8", "surrogatepass") for p in sorted(table.column("piece").to_pylist()) for w in split_piece(" " + p))
+        return pa.table({"block": pa.array([compile_lexicon({w: vocabulary.merge(w) for w in found})], pa.binary())})
+
+    rows = frequent_pieces(docs, text_col, words)
+    blocks = rows.groupBy(F.lit(0).alias("all")).applyInArrow(compiled, "block binary").collect()
+    return publish(spark, bytes(blocks[0].block) if blocks else compile_lexicon({}), "lexicon"), tokenizer
 
 
 def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, words: int = LEXICON_WORDS) -> DataFrame:
@@ -438,10 +458,10 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
     a word of any length in n log n. Other columns are left out. An empty table gives no rows.
     """
     path = path or default_path()
-    name = _lexicon_for(docs, text_col, path, words)
+    files = _published(docs, text_col, path, words)
 
     def make():
-        enc = _encoder(name, path)
+        enc = _encoder(*files)
 
         def run(texts: list[str]) -> dict:
             ids = [np.frombuffer(i, "<u4").astype(np.int32) for i in enc.encode_many(texts)]
@@ -449,16 +469,17 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
 
         return run
 
-    return map_texts(docs, make, "n_tokens long, ids array<int>", GROUP_CHARS, id_col, text_col)
+    return map_texts(docs, make, "n_tokens long, ids array<int>", GROUP_BYTES, id_col, text_col)
 
 
 def decode(encoded: DataFrame, ids_col: str = "ids", path: str | None = None) -> DataFrame:
     """`encoded` with ``text``: the ids turned back; bytes that aren't UTF-8 become the replacement character. Null ids give null."""
-    path = path or default_path()
+    with open(path or default_path(), "rb") as f:
+        tokenizer = publish(encoded.sparkSession, f.read(), "tokenizer")
 
     @F.pandas_udf("string")
     def text(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        words = Vocabulary(path).words
+        words = Vocabulary(SparkFiles.get(tokenizer)).words
         for s in batches:
             yield s.map(lambda ids: None if ids is None else b"".join([words[i] for i in ids]).decode("utf-8", "replace"))
 
@@ -468,10 +489,10 @@ def decode(encoded: DataFrame, ids_col: str = "ids", path: str | None = None) ->
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
     """``(doc_id, n_tokens, ids_sha256, decoded_sha256)``: what `encode` and `decode` give, as digests, in one pass."""
     path = path or default_path()
-    name = _lexicon_for(docs, text_col, path, LEXICON_WORDS)
+    files = _published(docs, text_col, path, LEXICON_WORDS)
 
     def make():
-        enc = _encoder(name, path)
+        enc = _encoder(*files)
 
         def run(texts: list[str]) -> dict:
             ids = enc.encode_many(texts)
@@ -480,7 +501,7 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pat
 
         return run
 
-    return map_texts(docs, make, "n_tokens long, ids_sha256 string, decoded_sha256 string", GROUP_CHARS, id_col, text_col)
+    return map_texts(docs, make, "n_tokens long, ids_sha256 string, decoded_sha256 string", GROUP_BYTES, id_col, text_col)
 
 
 def op2(spark, sf_dir: str) -> DataFrame:

@@ -1,8 +1,9 @@
 """Quality classifier: ordinal cumulative-link regression on graded ratings over hashed text.
 
-Ratings are grades 0 (toxic), 1 (poor) and 2 (good): toxic is the lowest, so that more toxic words never make a text better. One weight for each hashed feature gives a document's score s; ordered
-thresholds give P(grade >= k) = sigmoid(s - t_k). From these follow the expected grade and the tail probability by which
-documents are selected. The model is fitted on the driver to a bounded sample of the rated documents.
+Ratings are grades 0 (toxic), 1 (poor) and 2 (good): toxic is the lowest, so that more toxic words never make a text
+better. One weight for each hashed feature gives a document's score s; ordered thresholds give P(grade >= k) = sigmoid(s - t_k). From these follow the expected grade and the tail probability by which
+documents are selected. The model is fitted to a bounded sample of the rated documents, in one task of an executor; only
+its weights reach the driver.
 """
 
 from __future__ import annotations
@@ -11,10 +12,12 @@ import math
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrace.llm.sampling import bounded
 from millrace.llm.texts import filter_texts, map_texts
 
 #: Rated documents that the model is fitted to at most, and hashed features.
@@ -24,7 +27,7 @@ SAMPLE, DIMENSIONS = 16_000, 2**18
 LEAST_TELLING, PASSES, STEP_DOCS, RATE, PULL = 27.0, 12, 64, 0.15, 1e-4
 #: Grades, and the probability of the best one from which a document is kept.
 GRADES, KEEP = 3, 0.5
-MEMO = 400_000
+MEMO = 200_000
 #: Bytes of a word's beginnings that are features of their own.
 STEMS = (4, 5)
 
@@ -100,6 +103,19 @@ def _telling(rows: list[np.ndarray], grades: np.ndarray, flat: np.ndarray) -> np
     return out
 
 
+def slopes(s: np.ndarray, t: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Derivatives of -log P(grade) by each score, and of their sum by each threshold. P = sig(s - t_y) - sig(s - t_(y + 1))."""
+    n, levels, r = len(s), len(t), np.arange(len(s))
+    above = np.hstack([np.ones((n, 1)), _sigmoid(s[:, None] - t), np.zeros((n, 1))])
+    slope = above * (1 - above)
+    p = np.maximum(above[r, y] - above[r, y + 1], 1e-9)
+    down, up = slope[r, y] / p, slope[r, y + 1] / p
+    by_threshold = np.zeros(levels)
+    np.add.at(by_threshold, y[y > 0] - 1, down[y > 0])
+    np.add.at(by_threshold, y[y < levels], -up[y < levels])
+    return up - down, by_threshold
+
+
 def fit(rows: list[np.ndarray], grades: np.ndarray) -> Model:
     """Adaptive steps on the cumulative-link likelihood; after each, weights are pulled to zero, thresholds kept in order."""
     n, levels = len(rows), GRADES - 1
@@ -127,17 +143,7 @@ def fit(rows: list[np.ndarray], grades: np.ndarray) -> Model:
             owner = np.repeat(np.arange(len(pick)), long)
             s = np.bincount(owner, weights=w[cat], minlength=len(pick))
             t = np.concatenate([[base], base + np.cumsum(np.exp(gaps))])
-            y = grades[pick]
-            above = np.hstack([np.ones((len(pick), 1)), _sigmoid(s[:, None] - t), np.zeros((len(pick), 1))])
-            slope = above * (1 - above)
-            r = np.arange(len(pick))
-            p = np.maximum(above[r, y] - above[r, y + 1], 1e-9)
-            # d(-log p)/ds, and the same for the two thresholds around the grade.
-            down, up = slope[r, y] / p, slope[r, y + 1] / p
-            grad_s = up - down
-            grad_t = np.zeros(levels)
-            np.add.at(grad_t, y[y > 0] - 1, down[y > 0])
-            np.add.at(grad_t, y[y < levels], -up[y < levels])
+            grad_s, grad_t = slopes(s, t, grades[pick])
             grad = np.bincount(cat, weights=grad_s[owner], minlength=len(common)) / len(pick)
             hit = np.flatnonzero(grad)
             seen[hit] += grad[hit] ** 2
@@ -167,23 +173,36 @@ def graded(labels: DataFrame) -> DataFrame:
 
 
 def train(docs: DataFrame, ratings: DataFrame, sample: int = SAMPLE) -> Model:
-    """The model for at most `sample` rated documents, taken by a hash of their id. docs: doc_id, text."""
-    chosen = ratings.orderBy(F.xxhash64(F.lit("rated"), "doc_id"), "doc_id").limit(sample)
+    """The model for at most `sample` rated documents, taken by a hash of their id. docs: doc_id, text.
+
+    Of rows that repeat an id one counts: the first by its text's hash.
+    """
+    chosen = bounded(ratings, "rated", F.col("doc_id"), sample)
     # At most `sample` rows of two numbers.
-    rated = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])
+    rated = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text")
 
     def make():
         words = _Words()
-        return lambda texts: {"places": [features(t, words) for t in texts]}
-
-    grades = {r.doc_id: r.grade for r in chosen.collect()}
-    rows = map_texts(rated, make, "places array<int>").orderBy("doc_id").toArrow()
-    ids = rows.column("doc_id").to_pylist()
-    places = rows.column("places").combine_chunks()
-    flat, at = places.flatten().to_numpy(), places.offsets.to_numpy() if len(places) else np.zeros(1, int)
-    keep = [k for k in range(len(ids)) if at[k + 1] > at[k]]
-    at = at - (at[0] if len(at) else 0)
-    return fit([flat[at[k] : at[k + 1]] for k in keep], np.array([grades[ids[k]] for k in keep], dtype=int))
+
+        def run(texts: list[str]) -> dict:
+            return {"places": [features(t, words) for t in texts], "mixed": [xxhash.xxh3_64_intdigest(t.encode("utf-8", "surrogatepass")) >> 1 for t in texts]}
+
+        return run
+
+    def fitted(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("doc_id", "ascending"), ("mixed", "ascending")])
+        ids, grades, places = table.column("doc_id").to_numpy(), table.column("grade").to_numpy(), table.column("places").combine_chunks()
+        flat, at = places.flatten().to_numpy(), places.offsets.to_numpy()
+        at = at - at[0]
+        first = np.concatenate([[True], ids[1:] != ids[:-1]])
+        keep = np.flatnonzero(first & (at[1:] > at[:-1])).tolist()
+        model = fit([flat[at[k] : at[k + 1]] for k in keep], grades[keep].astype(int))
+        return pa.table({"weights": [model.weights.tobytes()], "thresholds": [model.thresholds.tolist()]})
+
+    rows = map_texts(rated, make, "places array<int>, mixed long").join(F.broadcast(chosen), "doc_id")
+    # At most `sample` rows of a few hundred numbers meet in one task; the weights are a fixed size.
+    found = rows.groupBy(F.lit(0).alias("all")).applyInArrow(lambda t: fitted(t.drop_columns(["all"]) if "all" in t.column_names else t), "weights binary, thresholds array<double>").collect()
+    return Model(np.frombuffer(found[0].weights, np.float32), np.array(found[0].thresholds)) if found else fit([], np.zeros(0, int))
 
 
 def grade(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: float = KEEP) -> DataFrame:
