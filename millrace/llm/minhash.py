@@ -377,3 +377,16 @@ def _large(texts: DataFrame, percent: int) -> list[DataFrame]:
 
 def op4(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+ORACLE_OP4 = """
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, list_sort(list_distinct(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END)) AS x FROM d),
+r AS (SELECT x, min(doc_id) AS rep, len(x) AS n FROM s WHERE len(x) > 0 GROUP BY x),
+h AS (SELECT rep, n, unnest(x) AS sh FROM r),
+b AS (SELECT p.rep AS a, q.rep AS b, p.n AS na, q.n AS nb, count(*) AS shared FROM h p JOIN h q ON p.sh = q.sh AND p.rep < q.rep GROUP BY ALL),
+e AS (SELECT a, b FROM b WHERE 100 * shared >= 85 * (na + nb - shared)),
+c(id, low) AS (SELECT rep, rep FROM r UNION SELECT f.y, c.low FROM c JOIN (SELECT a AS x, b AS y FROM e UNION ALL SELECT b, a FROM e) f ON f.x = c.id AND c.low < f.y),
+k AS (SELECT id, min(low) AS component_id FROM c GROUP BY id)
+SELECT doc_id, len(s.x)::BIGINT AS n_shingles, coalesce(component_id, doc_id) AS component_id, coalesce(component_id, doc_id) = doc_id AS kept FROM s LEFT JOIN r ON r.x = s.x LEFT JOIN k ON k.id = r.rep
+"""

@@ -17,7 +17,13 @@ QUERIES = {
     "op10_nearest_vectors": multi_index.op10,
 }
 ORACLE: dict[str, str] = {
+    "op1_embedding_near_dedup": embedding_dedup.ORACLE_OP1,
+    "op4_minhash_near_dedup": minhash.ORACLE_OP4,
+    "op5_secret_scan": secrets.ORACLE_OP5,
     "op6_line_dedup": line_dedup.ORACLE_OP6,
+    "op7_source_mixing": mixing.ORACLE_OP7,
+    "op8_feistel_sharding": sharding.ORACLE_OP8,
+    "op9_chat_formatting": chat.ORACLE_OP9,
 }
 
 
