@@ -34,8 +34,16 @@ def overall_confidence(*parts: Column) -> Column:
     return F.coalesce(F.greatest(*[F.coalesce(p, F.lit(0.0)) for p in parts]), F.lit(0.0))
 
 
+#: What a response says, in the order in which it is looked at, and the scores below which.
+QUALITY_WARNING = "Image quality warning: "
+NO_PRODUCTS = "No matching products found. Try a clearer photo or different angle."
+NO_MATCH, NO_MATCH_BELOW = "No confident match found. Please verify the product or try another photo.", 0.35
+LOW_MATCH, LOW_MATCH_BELOW = "Low confidence match. Please verify the product or try another photo.", 0.6
+
+
 def message(warning: Column, n_results: Column, top_score: Column) -> Column:
-    return F.when(warning.isNotNull(), F.concat(F.lit("quality: "), warning)).when(n_results == 0, "no results").when(top_score < 0.35, "low confidence").when(top_score < 0.6, "medium confidence")
+    """What a response says of its results, null if there is nothing to say. top_score: as it is returned, rounded."""
+    return F.when(warning.isNotNull(), F.concat(F.lit(QUALITY_WARNING), warning)).when(n_results == 0, NO_PRODUCTS).when(top_score < NO_MATCH_BELOW, NO_MATCH).when(top_score < LOW_MATCH_BELOW, LOW_MATCH)
 
 
 def merge(hits: DataFrame, queries: DataFrame, max_results: int = 20) -> DataFrame:
@@ -56,9 +64,10 @@ def merge(hits: DataFrame, queries: DataFrame, max_results: int = 20) -> DataFra
     present = {"image": F.col("image").isNotNull(), "text": F.col("text").isNotNull(), "metadata": F.col("catalog").isNotNull() & (F.col("product_id") != 0)}
     count = sum(p.cast("int") for p in present.values())
     kind = F.when(count >= 2, "hybrid").when(present["image"], "image").when(present["text"], "text").when(present["metadata"], "metadata").otherwise("unknown")
-    parts = [F.round(F.coalesce(F.col(n), F.lit(0.0)) * F.col(f"w_{n}"), 9).alias(n) for n in ("image", "text", "catalog")]
+    # Scores are ranked as they are; whoever shows them rounds.
+    parts = [(F.coalesce(F.col(n), F.lit(0.0)) * F.col(f"w_{n}")).alias(n) for n in ("image", "text", "catalog")]
     out = by.select("query_id", "product_id", "confidence", "came", kind.alias("match_type"), *parts)
-    out = out.withColumn("score", F.round(F.col("image") + F.col("text") + F.col("catalog"), 9))
+    out = out.withColumn("score", F.col("image") + F.col("text") + F.col("catalog"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "came"))
     return out.withColumn("rank", rank).where(F.col("rank") <= max_results).drop("came")
 
@@ -82,7 +91,7 @@ def diversify(merged: DataFrame, max_results: int = 10, threshold: float = 0.8)
 
 def rerank(merged: DataFrame, type_weights: dict[str, float]) -> DataFrame:
     w = F.coalesce(*[F.when(F.col("match_type") == t, F.lit(x)) for t, x in type_weights.items()], F.lit(1.0))
-    out = merged.withColumn("score", F.round(F.col("score") * w, 10))
+    out = merged.withColumn("score", F.col("score") * w)
     return out.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "rank")))
 
 

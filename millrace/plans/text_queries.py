@@ -153,7 +153,7 @@ upper(trim(regexp_replace(coalesce(raw, ''), '[^A-Za-z0-9]+', '-', 'g'), '-')) A
     "mpn_normalize": f"""{_PART}, q AS (SELECT *, coalesce(raw, '') || CASE p_partkey % 3 WHEN 0 THEN ' or X1' WHEN 1 THEN '; Y2' ELSE '' END AS r FROM p),
 n AS (SELECT *, regexp_replace(upper(regexp_split_to_array(r, '[,;/|]| or ')[1]), '[^A-Z0-9]', '', 'g') AS m FROM q)
 SELECT p_partkey, CASE WHEN m IN ({', '.join(f"'{j}'" for j in D.JUNK_NUMBERS)}) OR length(m) < 3 THEN '' ELSE m END AS mpn, regexp_replace(lower(trim('  ' || p_brand || '  X ')), '\\s+', ' ', 'g') AS brand, substr(sha1(p_brand), 1, 12) AS seller FROM n""",
-    "match_key_join": """WITH p AS (SELECT * FROM part WHERE p_partkey % 11 <> 0 AND p_partkey < 1000),
+    "match_key_join": """WITH p AS (SELECT * FROM part WHERE p_partkey % 11 <> 0),
 a AS (SELECT p_partkey AS a, translate('S' || (p_partkey % 200) || 'O', 'OILSB', '01158') AS key FROM p), b AS (SELECT p_partkey AS b, translate('5' || (p_partkey % 300) || '0', 'OILSB', '01158') AS key FROM p)
 SELECT key, count(*) AS pairs, min(a) AS first_a, max(b) AS last_b FROM a JOIN b USING (key) GROUP BY key""",
     "extract_part_number": r"""WITH x AS (SELECT p_partkey, upper('Part No: ' || CASE p_partkey % 4 WHEN 0 THEN 'bp' || (1000 + p_partkey) WHEN 1 THEN 'W' || (100 + p_partkey % 900) || '/' || (p_partkey % 90) WHEN 2 THEN (10000 + p_partkey) || 'abc XY12' ELSE 'none' END) AS t FROM part),

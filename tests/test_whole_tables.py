@@ -1,89 +1,51 @@
-"""Queries over whole tables: held against their SQL with its cuts by id taken out, which DuckDB runs."""
+"""Queries over whole tables. Their SQL is held against them in test_sql; here is what SQL does not say."""
 
-import duckdb
 import pytest
 
+from millrace.operators import retrieval
 from millrace.plans import text_queries, vector_queries
+from tests.duck import same_rows
 
 
-def order(row):
-    return [(x is None, 0 if x is None else x) for x in row]
+def test_match_key_join_counts_all_of_part(spark):
+    sf = "/root/testdata/sf0.01"
+    assert max(r.last_b for r in text_queries.match_key_join(spark, sf).collect()) > 1000
 
 
-def rows(df):
-    return sorted((tuple(r) for r in df.collect()), key=order)
-
-
-def duck(sf, sql):
-    with duckdb.connect() as con:
-        for t in ("part", "embeddings"):
-            con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf}/{t}.parquet')")
-        return sorted(con.execute(sql).fetchall(), key=order)
-
-
-@pytest.fixture(scope="module")
-def sf():
-    return "/root/testdata/sf0.01"
-
-
-def test_match_key_join_counts_all_of_part(spark, sf):
-    sql = text_queries.ORACLE["match_key_join"].replace(" AND p_partkey < 1000", "")
-    got = rows(text_queries.match_key_join(spark, sf))
-    assert got == duck(sf, sql) and max(r[3] for r in got) > 1000
-
-
-def whole(sql):
-    """Queries are the ids divisible by 50, points all other rows."""
-    for cut, instead in ((" WHERE vec_id < 20", " WHERE vec_id % 50 = 0"), (" WHERE vec_id >= 20", ""), ("AS cos FROM p, q)", "AS cos FROM p, q WHERE point_id <> query_id)"), ("SELECT query_id AS i,", "SELECT row_number() OVER (ORDER BY query_id) - 1 AS i,")):
-        sql = sql.replace(cut, instead)
-    return sql
-
-
-@pytest.mark.parametrize("name", ["vector_topk_exact", "vector_topk_l2", "vector_topk_ip", "vector_topk_prefilter", "eval_per_query", "eval_recall_map", "eval_bootstrap_ci", "eval_paired_bootstrap"])
-def test_searches_take_the_whole_table(spark, sf, name):
-    got, want = rows(vector_queries.QUERIES[name](spark, sf)), duck(sf, whole(vector_queries.ORACLE[name]))
-    assert len(got) == len(want) and all(a == pytest.approx(b, abs=2e-6) for a, b in zip(got, want))
-
-
-def test_hashed_search_has_every_query(spark, sf):
-    got = vector_queries.QUERIES["vector_topk_lsh"](spark, sf).collect()
-    assert {r.query_id for r in got} == set(range(0, 500, 50)) and all(r.point_id != r.query_id for r in got) and any(r.point_id < 20 for r in got)
-
-
-def whole_fusion(sql):
-    """As `whole`, with parts dealt to the queries by their places i, which stand for the ids 0 to 9 of the cut."""
-    start = sql.index("im AS (")
-    head, rest = sql[:start], sql[start:]
-    head = head.replace("vec_id AS query_id", "QUERY").replace("vec_id", "i").replace("QUERY", "vec_id AS query_id, i").replace("i / 10.0", "i % 10 / 10.0")
-    head = head.replace("FROM embeddings WHERE i < 10)", "FROM (SELECT *, row_number() OVER (ORDER BY vec_id) - 1 AS i FROM embeddings WHERE vec_id % 50 = 0))")
-    rest = rest.replace("WHERE vec_id >= 20", "WHERE vec_id <> query_id").replace("p_partkey < 600 AND ", "").replace("p_partkey / 1000.0::DOUBLE", "p_partkey / 1e9::DOUBLE")
-    rest = rest.replace("SELECT p_partkey % 10,", "SELECT q.query_id,").replace("FROM part WHERE p_size", "FROM part JOIN q ON q.i = p_partkey % (SELECT count(*) FROM q) WHERE p_size")
-    return head + rest
-
-
-@pytest.mark.parametrize("at", ["sf0.01", "sf0.1"])
-@pytest.mark.parametrize("name", ["fusion_weighted", "fusion_match_type", "fusion_diversity", "fusion_rerank", "fusion_details"])
-def test_fusion_takes_the_whole_tables(spark, name, at):
-    sf = f"/root/testdata/{at}"
+@pytest.mark.parametrize("name", ["vector_topk_exact", "eval_per_query", "fusion_weighted", "fusion_diversity"])
+def test_larger_tables(spark, name):
+    sf = "/root/testdata/sf0.1"
     df = vector_queries.QUERIES[name](spark, sf)
-    columns = sorted(df.columns)
-    want = duck(sf, f"SELECT {', '.join(columns)} FROM ({whole_fusion(vector_queries.ORACLE[name])})")
-    got = rows(df.select(*columns))
-    assert len(got) == len(want) and all(a == pytest.approx(b, abs=2e-6) for a, b in zip(got, want))
-    if "query_id" in columns:
-        assert {r[columns.index("query_id")] for r in got} == set(range(0, {"sf0.01": 500, "sf0.1": 2000}[at], 50))
+    same_rows(df, vector_queries.ORACLE[name], sf)
+    assert {r.query_id for r in df.collect()} == set(range(0, 2000, 50))
 
 
 @pytest.mark.parametrize("at", ["sf0.01", "sf0.1"])
-def test_hashed_search_finds_nine_of_ten(spark, at):
-    exact, hashed = ([(r.query_id, r.point_id) for r in vector_queries.QUERIES[n](spark, f"/root/testdata/{at}").collect()] for n in ("vector_topk_exact", "vector_topk_lsh"))
-    assert len(hashed) == len(exact) and len(set(hashed) & set(exact)) >= 0.9 * len(exact)
-
-
-def test_hashed_search_keeps_far_points(spark):
-    from millrace.operators import retrieval
-
-    points = spark.createDataFrame([(k, [0.05, 1.0 + k]) for k in range(12)], "point_id long, embedding array<double>")
-    q = spark.createDataFrame([(1, [1.0, 0.0])], "query_id long, query array<double>")
-    got, want = retrieval.search_hashed(points, q, 10, length=9.0).collect(), retrieval.search(points, q, 10).collect()
-    assert {(r.point_id, r.score) for r in got} == {(r.point_id, r.score) for r in want} and len(got) == 10
+def test_cells_find_nine_of_ten(spark, at):
+    exact, found = ([(r.query_id, r.point_id) for r in vector_queries.QUERIES[n](spark, f"/root/testdata/{at}").collect()] for n in ("vector_topk_exact", "vector_topk_cells"))
+    assert len(found) == len(exact) and len(set(found) & set(exact)) >= 0.9 * len(exact)
+    assert all(q != p for q, p in found)
+
+
+def test_all_cells_are_exact_search(spark):
+    points = spark.createDataFrame([(k, [0.05, 1.0 + k, (k * 7 % 5) - 2.0]) for k in range(40)], "point_id long, embedding array<double>")
+    q = spark.createDataFrame([(k, [1.0, 0.1 * k, 0.5]) for k in range(6)], "query_id long, query array<double>")
+    got, want = retrieval.search_cells(points, q, 10, cells=5, share=1.0).collect(), retrieval.search(points, q, 10).collect()
+    assert sorted((r.query_id, r.hit_rank, r.point_id) for r in got) == sorted((r.query_id, r.hit_rank, r.point_id) for r in want) and len(got) == 60
+
+
+def test_queries_in_several_blocks(spark, monkeypatch):
+    monkeypatch.setattr(retrieval, "BLOCK", 7)
+    sf = "/root/testdata/sf0.001"
+    for name in ("vector_topk_exact", "eval_per_query"):
+        same_rows(vector_queries.QUERIES[name](spark, sf), vector_queries.ORACLE[name], sf)
+
+
+def test_ties_odd_vectors_and_nothing(spark):
+    points = spark.createDataFrame([(5, [1.0, 0.0]), (3, [2.0, 0.0]), (9, [0.0, 0.0]), (7, None), (1, [0.0, 1.0])], "point_id long, embedding array<double>")
+    q = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 0.0])], "query_id long, query array<double>")
+    got = sorted((r.query_id, r.hit_rank, r.point_id, r.score) for r in retrieval.search(points, q, 3).collect())
+    assert got == [(1, 1, 3, 1.0), (1, 2, 5, 1.0), (1, 3, 1, 0.0), (2, 1, 1, 0.0), (2, 2, 3, 0.0), (2, 3, 5, 0.0)]
+    assert retrieval.search(points, q.limit(0), 3).collect() == [] == retrieval.search(points.limit(0), q, 3).collect()
+    lists = retrieval.search_batch(points.limit(0), q, 3).collect()
+    assert {r.query_id: r.hits for r in lists} == {1: [], 2: []}
