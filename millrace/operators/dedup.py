@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+from itertools import combinations
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from millrace.functions.vectors import hamming
+from millrace.functions.vectors import hamming, mean_absolute_difference
 from millrace.operators.components import connected_components
 
 
@@ -14,22 +20,63 @@ def exact_groups(rows: DataFrame, hash_col: str, source_col: str) -> DataFrame:
     return rows.groupBy(hash_col).agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_set(source_col)), " + ").alias("sources")).where("n > 1")
 
 
+def _neighbours(bits: int, radius: int) -> list[int]:
+    """Numbers of `bits` bits with at most `radius` of them set."""
+    return [sum(1 << k for k in some) for r in range(radius + 1) for some in combinations(range(bits), r)]
+
+
 def near_pairs(rows: DataFrame, id_col: str, hash_col: str, most: int) -> DataFrame:
     """``(a, b, distance)``, a < b, of 64-bit hashes at most `most` bits apart; none is missed.
 
-    The bits are cut into more bands than may differ, so a near pair agrees in a band: rows meet by an equi-join on bands
-    and the distance is looked at inside the join. Wide distances make narrow bands that many rows share; then that is what
-    the data ask for.
+    Rows of equal hash are one class, classes are compared, and pairs of rows follow at the end. The 64 bits are four bands
+    of 16; two hashes at most `most` apart are at most a fourth of that apart in one band. So one side of an equi-join has
+    each band with all its neighbours within that radius, the other its bands as they are, and the distance is looked at
+    inside the join: up to distance 11 each class has 548 keys at most, and a band of 16 bits tells classes apart well.
+    Beyond that most pairs of any hashes are candidates in some band; then classes are compared block by block in one pass
+    each, which takes the square of their number in time, not in rows.
     """
-    bands = most + 1
-    if bands > 64:
+    if most >= 64:
         raise ValueError("a distance of 64 bits makes every pair near")
-    cuts = [64 * k // bands for k in range(bands + 1)]
-    keys = F.array(*[F.concat_ws(":", F.lit(k), F.shiftrightunsigned(F.col("h"), lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1 if hi - lo < 64 else -1)).cast("string")) for k, (lo, hi) in enumerate(zip(cuts, cuts[1:]))])
-    rows = rows.select(F.col(id_col).alias("i"), F.col(hash_col).alias("h")).select("i", "h", F.explode(keys).alias("band"))
-    a, b = rows.select(F.col("i").alias("a"), F.col("h").alias("ha"), "band"), rows.select(F.col("i").alias("b"), F.col("h").alias("hb"), "band")
-    near = a.join(b, (a["band"] == b["band"]) & (F.col("a") < F.col("b")) & (hamming(F.col("ha"), F.col("hb")) <= most))
-    return near.select("a", "b", hamming(F.col("ha"), F.col("hb")).alias("distance")).distinct()
+    named = rows.select(F.col(id_col).alias("i"), F.col(hash_col).alias("h")).where("h is not null")
+    classes = named.select("h").distinct()
+    if most <= 11:
+        band = lambda k: F.shiftrightunsigned(F.col("h"), 16 * k).bitwiseAND(F.lit(0xFFFF)).cast("int")
+        bands = classes.select("h", F.posexplode(F.array(*[band(k) for k in range(4)])).alias("k", "band"))
+        near = F.array(*[F.lit(x) for x in _neighbours(16, most // 4)])
+        wide = bands.select(F.col("h").alias("g"), "k", F.explode(F.transform(near, lambda x: F.col("band").bitwiseXOR(x))).alias("band"))
+        met = bands.join(wide, ["k", "band"]).where((F.col("h") < F.col("g")) & (hamming(F.col("h"), F.col("g")) <= most)).select("h", "g").distinct()
+    else:
+        met = _blockwise(classes, most)
+    met = met.unionByName(classes.select("h", F.col("h").alias("g")))
+    a, b = named.select(F.col("i").alias("x"), "h"), named.select(F.col("i").alias("y"), F.col("h").alias("g"))
+    pairs = met.join(a, "h").join(b, "g").where("h <> g or x < y")
+    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), hamming(F.col("h"), F.col("g")).alias("distance"))
+
+
+#: Hashes of a block.
+BLOCK = 32_768
+
+
+def _blockwise(classes: DataFrame, most: int) -> DataFrame:
+    """Pairs (h, g), h < g, of distinct hashes, every block of them against every later one."""
+    n = classes.count()
+    blocks = max(1, -(-n // BLOCK))
+    block = F.pmod(F.xxhash64("h"), F.lit(blocks))
+    dealt = classes.withColumn("b", block).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+    dealt = dealt.select("h", "b", F.least("b", "other").alias("x"), F.greatest("b", "other").alias("y"))
+
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        x, y = int(pdf["x"].iloc[0]), int(pdf["y"].iloc[0])
+        left, right = (np.sort(pdf["h"].to_numpy(np.int64)[pdf["b"].to_numpy() == k]) for k in (x, y))
+        a, b = [], []
+        for at in range(0, len(left), 256):
+            part = left[at : at + 256]
+            i, j = np.nonzero(np.bitwise_count(part.view(np.uint64)[:, None] ^ right.view(np.uint64)[None, :]) <= most)
+            keep = part[i] < right[j] if x == y else part[i] != right[j]
+            a.append(np.minimum(part[i], right[j])[keep]), b.append(np.maximum(part[i], right[j])[keep])
+        return pd.DataFrame({"h": np.concatenate(a or [left]), "g": np.concatenate(b or [left])})
+
+    return dealt.groupBy("x", "y").applyInPandas(compare, "h long, g long")
 
 
 def groups(rows: DataFrame, id_col: str, pairs: DataFrame) -> DataFrame:
@@ -49,20 +96,47 @@ def without_generic(pairs: DataFrame, part_of: DataFrame, most: int = 4) -> Data
 def leaders(rows: DataFrame, key: str, order: str, hash_col: str, most: int) -> DataFrame:
     """Greedy clusters within each key: a row joins the first leader within `most` bits, or leads. ``(key, order, leader)``.
 
-    The result depends on the order, so it is a fold over a key's rows; keys are spread over the tasks.
+    The result depends on the order, so a key's rows are read one after the other, sorted, and only its leaders are held:
+    a task's memory follows the leaders of one key, not its rows. Keys are spread over the tasks.
     """
-    items = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(hash_col).alias("h"))))
-    by = rows.groupBy(key).agg(items.alias("x"))
-    start = F.struct(F.array().cast("array<struct<o:bigint,h:bigint>>").alias("lead"), F.array().cast("array<struct<o:bigint,l:bigint>>").alias("out"))
-
-    def step(a: Column, r: Column) -> Column:
-        near = F.filter(a["lead"], lambda c: hamming(c["h"], r["h"]) <= most)
-        none = F.size(near) == 0
-        mine = F.struct(r["o"].cast("long").alias("o"), r["h"].alias("h"))
-        return F.struct(F.when(none, F.concat(a["lead"], F.array(mine))).otherwise(a["lead"]).alias("lead"), F.concat(a["out"], F.array(F.struct(r["o"].cast("long").alias("o"), F.when(none, r["o"]).otherwise(F.get(near, F.lit(0))["o"]).cast("long").alias("l")))).alias("out"))
-
-    folded = F.aggregate("x", start, step, lambda a: a["out"])
-    return by.select(key, F.explode(folded).alias("r")).select(key, F.col("r.o").alias(order), F.col("r.l").alias("leader"))
+    schema = StructType([StructField(key, rows.schema[key].dataType), StructField(order, LongType()), StructField("leader", LongType())])
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, lead, names, n = None, np.zeros(64, np.uint64), np.zeros(64, np.int64), 0
+        for pdf in batches:
+            hashes, orders, keys, out = pdf["h"].to_numpy(np.int64).view(np.uint64), pdf["o"].to_numpy(np.int64), pdf["k"].tolist(), []
+            for k, o, h in zip(keys, orders.tolist(), hashes):
+                if k != now:
+                    now, n = k, 0
+                near = np.flatnonzero(np.bitwise_count(lead[:n] ^ h) <= most)
+                if len(near):
+                    out.append(int(names[near[0]]))
+                    continue
+                if n == len(lead):
+                    lead, names = np.resize(lead, 2 * n), np.resize(names, 2 * n)
+                lead[n], names[n], n = h, o, n + 1
+                out.append(o)
+            yield pd.DataFrame({key: pdf["k"], order: orders, "leader": np.array(out, np.int64)})
+
+    some = rows.where(F.col(hash_col).isNotNull()).select(F.col(key).alias("k"), F.col(order).cast("long").alias("o"), F.col(hash_col).cast("long").alias("h"))
+    return some.repartition("k").sortWithinPartitions("k", "o").mapInPandas(read, schema)
+
+
+def without_near(rows: DataFrame, against: DataFrame, key: str, hash_col: str, most: int) -> DataFrame:
+    """`rows` but for those that have, among the rows of `against` with their key, one within `most` bits."""
+    other = against.select(F.col(key).alias("__key"), F.col(hash_col).alias("__hash")).distinct()
+    return rows.join(other, (F.col(key) == F.col("__key")) & (hamming(F.col(hash_col), F.col("__hash")) <= most), "left_anti")
+
+
+def near_pairs_checked(rows: DataFrame, id_col: str, hash_col: str, content_col: str, most: int, tolerance: float = 10.0) -> DataFrame:
+    """`near_pairs` whose contents (arrays of equal length) also differ by no more than `tolerance` on the mean; a negative
+    tolerance leaves contents alone. Contents are looked up for the pairs alone."""
+    pairs = near_pairs(rows, id_col, hash_col, most)
+    if tolerance < 0:
+        return pairs
+    side = lambda end: rows.select(F.col(id_col).alias(end), F.col(content_col).alias(f"__{end}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    return both.where(mean_absolute_difference(F.col("__a"), F.col("__b")) <= tolerance).select("a", "b", "distance")
 
 
 def primary(rows: DataFrame, by: str, order: list[str]) -> DataFrame:

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.operators.components import connected_components
+from millrace.operators.ordering import offsets
+
 
 def shuffle_key(seed: int, *cols: str) -> Column:
     return F.md5(F.concat_ws(":", F.lit(str(seed)), *cols))
@@ -27,15 +30,113 @@ def split_types(rows: DataFrame, key: str, item: str, share: float = 0.2, most_q
     return rows.withColumn("side", F.when(rank <= n_query, "query").when(rank <= n_eval, "gallery").otherwise("train"))
 
 
+def shuffled_rank(rows: DataFrame, name: str, seed: int, out: str = "rank") -> DataFrame:
+    """`rows` with their place, from 1, in shuffled order; `name` names a row. No task sees all rows."""
+    n = rows.count()
+    keyed = rows.withColumn("__key", shuffle_key(seed, name)).withColumn("__one", F.lit(1))
+    return offsets(keyed, [], "__key", "__one", n, "__before").withColumn(out, (F.col("__before") + 1).cast("long")).drop("__key", "__one", "__before")
+
+
 def split_groups(groups: DataFrame, group: str, valid: float, unknown: int, seed: int = 0) -> DataFrame:
-    """Groups to far (the first `unknown`), valid (a share of the rest, one at least) and train.
-
-    Ranks come from an order over all groups, whose number is that of entities, not rows.
-    """
-    n = groups.agg(F.count("*").alias("__n"))
-    ranked = groups.withColumn("__k", shuffle_key(seed, group)).withColumn("__r", F.row_number().over(Window.orderBy("__k", group)))
-    n_valid = F.greatest(F.lit(1), F.bround((F.col("__n") - unknown) * F.lit(valid)).cast("long"))
-    return ranked.crossJoin(F.broadcast(n)).withColumn("side", F.when(F.col("__r") <= unknown, "far").when(F.col("__r") <= unknown + n_valid, "valid").otherwise("train")).drop("__n", "__k", "__r")
+    """Groups to far (the first `unknown`), valid (a share of the rest, one at least) and train, in shuffled order."""
+    n = groups.count()
+    n_valid = max(1, round((n - unknown) * valid))
+    ranked = shuffled_rank(groups, group, seed, "__r")
+    return ranked.withColumn("side", F.when(F.col("__r") <= unknown, "far").when(F.col("__r") <= unknown + n_valid, "valid").otherwise("train")).drop("__r")
+
+
+def split_ranks(rows: DataFrame, name: str, train: float = 0.8, valid: float = 0.1, seed: int = 42) -> DataFrame:
+    """Rows to train, valid and test by their place in shuffled order: so many whole rows of the first two, and the rest."""
+    n = rows.count()
+    n_train, n_valid = int(n * train), int(n * valid)
+    ranked = shuffled_rank(rows, name, seed, "__r")
+    return ranked.withColumn("split", F.when(F.col("__r") <= n_train, "train").when(F.col("__r") <= n_train + n_valid, "valid").otherwise("test")).drop("__r")
+
+
+def carve(rows: DataFrame, key: str, item: str, share: float = 0.1, least: int = 4, seed: int = 42) -> DataFrame:
+    """Of each key's items a share, `least` at least, set apart: half of it queries, rounded down, the rest gallery."""
+    rank = F.row_number().over(Window.partitionBy(key).orderBy(shuffle_key(seed, item), item))
+    n = F.count("*").over(Window.partitionBy(key))
+    n_eval = F.least(n, F.greatest(F.lit(least), F.bround(n * F.lit(share)).cast("long")))
+    return rows.withColumn("side", F.when(rank <= F.floor(n_eval / 2), "query").when(rank <= n_eval, "gallery").otherwise("train"))
+
+
+def one_query_each(rows: DataFrame, key: str, item: str, seed: int = 42) -> DataFrame:
+    """One drawn item of each key as its query, the others as gallery."""
+    rank = F.row_number().over(Window.partitionBy(key).orderBy(shuffle_key(seed, item), item))
+    return rows.withColumn("side", F.when(rank == 1, "query").otherwise("gallery"))
+
+
+def first_of_each(rows: DataFrame, key: str, *order: str) -> DataFrame:
+    """The first row of each key."""
+    return rows.withColumn("__r", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where("__r = 1").drop("__r")
+
+
+def sample_each(rows: DataFrame, key: str, item: str, most: int, seed: int = 42) -> DataFrame:
+    """Up to `most` drawn rows of each key."""
+    return rows.withColumn("__r", F.row_number().over(Window.partitionBy(key).orderBy(shuffle_key(seed, item), item))).where(F.col("__r") <= most).drop("__r")
+
+
+def numbered_files(rows: DataFrame, key: str, path: str) -> DataFrame:
+    """``file``: the place of a path among its key's, with its extension in lower case."""
+    place = F.row_number().over(Window.partitionBy(key).orderBy(path))
+    return rows.withColumn("file", F.concat(place.cast("string"), F.lower(F.regexp_extract(path, r"(\.[^./]+)$", 1))))
+
+
+def one_label_clusters(rows: DataFrame, cluster: str, label: str, order: list[Column]) -> DataFrame:
+    """The best row of each cluster, by `order`; clusters with more than one label go entirely."""
+    labels = rows.groupBy(cluster).agg(F.countDistinct(label).alias("__labels")).where("__labels = 1").select(cluster)
+    rank = F.row_number().over(Window.partitionBy(cluster).orderBy(*order))
+    return rows.join(labels, cluster, "left_semi").withColumn("__r", rank).where("__r = 1").drop("__r")
+
+
+def large_types(rows: DataFrame, label: str, least: int) -> DataFrame:
+    """Rows of labels that have at least so many rows."""
+    return rows.join(rows.groupBy(label).agg(F.count("*").alias("__n")).where(F.col("__n") >= least).select(label), label, "left_semi")
+
+
+def heldout_types(rows: DataFrame, label: str, sample: int | None = None, fixed: list[str] | None = None, seed: int = 42) -> DataFrame:
+    """Labels held out of training: a list that must be there, or so many drawn ones."""
+    types = rows.select(label).distinct()
+    if fixed is not None:
+        wanted = rows.sparkSession.createDataFrame([(x,) for x in fixed], f"{label} string")
+        if missing := [r[0] for r in wanted.join(types, label, "left_anti").collect()]:
+            raise ValueError(f"held-out types without rows: {missing}")
+        return wanted
+    return types.orderBy(shuffle_key(seed, label), label).limit(sample or 0)
+
+
+def photo_sides(rows: DataFrame, photo: str, share: float = 0.2, seed: int = 42) -> DataFrame:
+    """Photos that go to evaluation: a share of all, in shuffled order, so that the crops of one photo stay on one side."""
+    photos = rows.where(F.col(photo).isNotNull() & (F.col(photo) != "")).select(photo).distinct()
+    n = photos.count()
+    return shuffled_rank(photos, photo, seed, "__r").where(F.col("__r") <= round(n * share)).drop("__r")
+
+
+def heldout_groups(rows: DataFrame, group: str, part: str, category: str, heldout: list[str]) -> DataFrame:
+    """``(group, category, held, members, spans)``: a group with any member of a held-out category is held out as a whole, under
+    the first of these by name; else it has its commonest category, of several the first by name. spans: more than one."""
+    n = rows.groupBy(group, category).agg(F.count(part).alias("__n"))
+    held = F.col(category).isin(heldout)
+    best = F.min(F.struct((-F.col("__n")).alias("n"), F.col(category).alias("c")))["c"]
+    by = n.groupBy(group).agg(F.min(F.when(held, F.col(category))).alias("__held"), best.alias("__common"), F.sum("__n").alias("members"), (F.count("*") > 1).alias("spans"))
+    return by.select(group, F.coalesce("__held", "__common").alias("category"), F.col("__held").isNotNull().alias("held"), "members", "spans")
+
+
+def pack_heldout(groups: DataFrame, ratios: tuple[float, float] = (0.6, 0.2), seed: int = 42) -> DataFrame:
+    """`heldout_groups` with their ``partition``: held out, or train, val and test by running size in each category."""
+    packed = pack_ratios(groups, "category", "grp", "members", ratios, seed)
+    return packed.withColumn("partition", F.when(F.col("held"), "heldout").otherwise(F.col("partition")))
+
+
+def part_groups(images: DataFrame, part: str, cluster: str) -> DataFrame:
+    """``(part, group)``: parts that share a cluster of images, directly or through others, are one group, named by its least
+    part. A cluster ties all its parts to its least one."""
+    named = images.select(part).distinct()
+    least = images.groupBy(cluster).agg(F.min(part).alias("__least"))
+    edges = images.join(least, cluster).select(F.col(part).alias("a"), F.col("__least").alias("b")).distinct()
+    found = connected_components(edges, "a", "b")
+    return named.join(found, named[part] == found["id"], "left").select(part, F.coalesce("component", part).alias("group"))
 
 
 def cap_side(rows: DataFrame, key: str, item: str, reserved: Column, cap: int, seed: int = 0) -> DataFrame:

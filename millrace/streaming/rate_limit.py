@@ -2,27 +2,38 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import BooleanType, LongType, StructField, StructType
 
 
 def accepted(requests: DataFrame, key: str, time: str, order: str, limit: int, seconds: float) -> DataFrame:
-    """Batch form: ``(key, order, accepted)``. A fold over a key's requests in time; keeps the accepted times in the window."""
-    items = F.array_sort(F.collect_list(F.struct(F.unix_micros(F.col(time).cast("timestamp")).alias("t"), F.col(order).alias("o"))))
-    by = requests.where(F.col(time).isNotNull()).groupBy(key).agg(items.alias("x"))
-    start = F.struct(F.array().cast("array<bigint>").alias("held"), F.array().cast("array<struct<o:bigint,ok:boolean>>").alias("out"))
+    """Batch form: ``(key, order, accepted)``. A key's requests are read in time, and only its accepted times in the window
+    are held, never more than the limit, so a key that makes up much of the table takes time but no memory."""
     span = int(seconds * 1_000_000)
-
-    def step(a: Column, r: Column) -> Column:
-        held = F.filter(a["held"], lambda t: t > r["t"] - span)
-        ok = F.size(held) < limit
-        return F.struct(F.when(ok, F.concat(held, F.array(r["t"]))).otherwise(held).alias("held"), F.concat(a["out"], F.array(F.struct(r["o"].cast("long").alias("o"), ok.alias("ok")))).alias("out"))
-
-    return by.select(key, F.explode(F.aggregate("x", start, step, lambda a: a["out"])).alias("r")).select(key, F.col("r.o").alias(order), F.col("r.ok").alias("accepted"))
+    schema = StructType([StructField(key, requests.schema[key].dataType), StructField(order, LongType()), StructField("accepted", BooleanType())])
+
+    def decide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, held = None, deque()
+        for pdf in batches:
+            out = []
+            for k, t in zip(pdf["k"].tolist(), pdf["t"].tolist()):
+                if k != now:
+                    now, held = k, deque()
+                while held and held[0] <= t - span:
+                    held.popleft()
+                out.append(len(held) < limit)
+                if out[-1]:
+                    held.append(t)
+            yield pd.DataFrame({key: pdf["k"], order: pdf["o"], "accepted": out})
+
+    rows = requests.where(F.col(time).isNotNull()).select(F.col(key).alias("k"), F.unix_micros(F.col(time).cast("timestamp")).alias("t"), F.col(order).cast("long").alias("o"))
+    return rows.repartition("k").sortWithinPartitions("k", "t", "o").mapInPandas(decide, schema)
 
 
 def accepted_stream(requests: DataFrame, key: str, time: str, order: str, limit: int, seconds: float) -> DataFrame:
