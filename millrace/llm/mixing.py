@@ -13,7 +13,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.ordering import copies, offsets, row_hash
+from millrace.operators.ordering import copies, offsets, row_hash
 from millrace.storage import written
 
 #: Weights of the sources in their order, again and again, and how often a source may be repeated at most.

@@ -12,7 +12,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.ordering import copies, offsets, row_hash
+from millrace.operators.ordering import copies, offsets, row_hash
 from millrace.storage import written
 
 #: Shards, rounds of the network, and what a row has besides its text's bytes.

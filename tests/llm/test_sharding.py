@@ -34,7 +34,7 @@ def test_sql(spark, sf):
 
 
 def test_a_row_that_is_most_of_the_table(spark, monkeypatch):
-    from millrace.llm import ordering
+    from millrace.operators import ordering
 
     monkeypatch.setattr(ordering, "COPIES", 16)
     rows = [(1, "t")] * 100 + [(k, "t") for k in range(50)]
