@@ -43,6 +43,22 @@ BRANDS: dict[str, list[str]] = {
     "Koni": ["koni", "koni shocks"],
 }
 
+#: Brands that the reader knows, in lower case, in order of precedence.
+READER_BRANDS = [
+    "bosch", "denso", "ngk", "brembo", "mobil", "castrol",
+    "bridgestone", "michelin", "continental", "valeo",
+    "mann", "mahle", "ferodo", "akebono", "trw",
+    "hella", "magneti marelli", "delphi", "acdelco", "motorcraft",
+    "beck arnley", "gates", "dayco", "goodyear", "pirelli",
+    "yokohama", "dunlop", "falken", "toyo", "hankook",
+    "k&n", "fram", "purolator", "wix", "knorr", "wabco",
+    "sachs", "zf", "bilstien", "monroe", "kyb",
+    "ate", "textar", "pagid", "bendix", "raybestos",
+    "champion", "autolite", "e3", "dens",
+    "motul", "shell", "total", "petronas", "liqui moly",
+    "valvoline", "penzoil", "amsoil", "royal purple",
+]
+
 #: Part categories with the keywords that name them, in order of precedence.
 PART_KEYWORDS: dict[str, list[str]] = {
     "engine_oil": ["engine oil", "motor oil", "10w", "5w", "0w", "synthetic oil", "castrol", "mobil 1", "shell helix"],
@@ -123,6 +139,50 @@ JUNK_NUMBERS = ["", "NA", "NONE", "DOESNOTAPPLY", "NOTAPPLICABLE", "UNKNOWN", "U
 NO_BRANDS = ["", "unbranded", "does not apply", "n/a", "generic"]
 
 
+#: Other spellings of detector classes, as they are compared, and the classes they stand for; None: none. What
+#: stands for itself is left out.
+CLASS_ALIASES: dict[str, str | None] = {
+    "back_bumper": "rear_bumper",
+    "back_door": "rear_door",
+    "back_glass": "rear_windshield",
+    "back_left_door": "rear_door",
+    "back_left_light": "rear_light",
+    "back_light": "rear_light",
+    "back_right_door": "rear_door",
+    "back_right_light": "rear_light",
+    "front_glass": "front_windshield",
+    "front_left_door": "front_door",
+    "front_left_light": "front_light",
+    "front_right_door": "front_door",
+    "front_right_light": "front_light",
+    "left_mirror": "mirror",
+    "right_mirror": "mirror",
+    "tailgate": "trunk",
+    "headlamp": "headlights",
+    "head_light": "headlights",
+    "taillamp": "taillights",
+    "tail_light": "taillights",
+    "brake_disc": "brake_rotor",
+    "carburetor": "carberator",
+    "carb": "carberator",
+    "damaged_spark_plug": "spark_plug",
+    "brake_shoes": "brake_pad",
+    "clutch_lever": "clutch_plate",
+    "clutch": "clutch_plate",
+    "front_brake": "brake_pad",
+    "rear_brake": "brake_pad",
+    "gasoline_filter": "fuel_injector",
+    "motor": "starter",
+    "rearview_mirror": "side_mirror",
+    "front_sprocket": "chain",
+    "crown": "engine_block",
+    "retainers": "valve_lifter",
+    "d008": None,
+    "d228": None,
+    "isimsiz": None,
+}
+
+
 def as_table(spark: SparkSession, entries: dict[str, list[str]]) -> DataFrame:
     """``(name, name_pos, alias, alias_pos)``: a dictionary as rows, with the order that decides precedence."""
     rows = [(n, i, a, j) for i, (n, aliases) in enumerate(entries.items()) for j, a in enumerate(aliases)]

@@ -9,6 +9,11 @@ from pyspark.sql import functions as F
 MOST_BYTES, LEAST_SIDE, MOST_SIDE, MOST_PIXELS = 15 * 1024 * 1024, 320, 4096, 4096 * 4096
 
 
+#: Parts of a picture that a query can be: all of it, its centre, or a detector's box with so much padding.
+CROP_PADDING = {"crop_00": 0.0, "crop_10": 0.10, "crop_15": 0.15, "crop_20": 0.20}
+REGIONS = ("full_image", "centre_70", *CROP_PADDING)
+
+
 def detect_format(content: Column) -> Column:
     at = lambda a, n: F.hex(F.substring(content, a, n))
     found = F.when(at(1, 3) == "FFD8FF", "JPEG").when(at(1, 4) == "89504E47", "PNG").when((at(1, 4) == "52494646") & (at(9, 4) == "57454250"), "WEBP")
@@ -54,3 +59,21 @@ def box_crop(width: Column, height: Column, x1: Column, y1: Column, x2: Column,
     side = F.greatest(bw + 2 * F.floor(bw * padding), bh + 2 * F.floor(bh * padding))
     cx, cy = (x1 + x2) / 2, (y1 + y2) / 2
     return F.struct(F.greatest(F.lit(0.0), cx - side / 2).alias("left"), F.greatest(F.lit(0.0), cy - side / 2).alias("top"), F.least(width.cast("double"), cx + side / 2).alias("right"), F.least(height.cast("double"), cy + side / 2).alias("bottom"), side.cast("int").alias("side"))
+
+
+def query_region(region: Column, width: Column, height: Column, box: Column) -> Column:
+    """``struct(left, top, right, bottom, detected)`` of a query's picture that a region is; box: array of x1, y1, x2, y2 or null,
+    and then crops are the whole picture."""
+    whole = F.struct(F.lit(0.0).alias("left"), F.lit(0.0).alias("top"), width.cast("double").alias("right"), height.cast("double").alias("bottom"))
+    centre, out = centre_crop(width, height), F.when(region == "full_image", whole)
+    out = out.when(region == "centre_70", F.struct(*[centre[c].cast("double").alias(c) for c in ("left", "top", "right", "bottom")]))
+    for name, padding in CROP_PADDING.items():
+        crop = box_crop(width, height, box[0], box[1], box[2], box[3], padding)
+        out = out.when((region == name) & box.isNotNull(), F.struct(*[crop[c].cast("double").alias(c) for c in ("left", "top", "right", "bottom")]))
+    out = out.otherwise(whole)
+    return F.struct(*[out[c].alias(c) for c in ("left", "top", "right", "bottom")], (region.isin(*CROP_PADDING) & box.isNotNull()).alias("detected"))
+
+
+def analysis_flags(brightness: Column, contrast: Column, noise: Column) -> Column:
+    """``struct(is_dark, is_bright, is_low_contrast, is_high_contrast, is_noisy)`` of a picture's measures."""
+    return F.struct((brightness < 60).alias("is_dark"), (brightness > 200).alias("is_bright"), (contrast < 30).alias("is_low_contrast"), (contrast > 80).alias("is_high_contrast"), (noise > 10).alias("is_noisy"))

@@ -21,9 +21,19 @@ def _or_empty(x: Column) -> Column:
     return F.coalesce(x, F.lit(""))
 
 
+def stripped(x: Column) -> Column:
+    """Without white space of any kind at both ends."""
+    return F.regexp_replace(_or_empty(x), r"(?U)^\s+|\s+$", "")
+
+
 def part_number(raw: Column) -> Column:
     """Upper case without white space, hyphens and slashes; null gives ''."""
-    return F.regexp_replace(F.upper(F.trim(_or_empty(raw))), r"(?U)[\s\-/]+", "")
+    return F.regexp_replace(F.upper(_or_empty(raw)), r"(?U)[\s\-/]+", "")
+
+
+def part_number_or_null(raw: Column) -> Column:
+    """The part number of what was found; null if nothing was."""
+    return F.when(raw.isNotNull(), part_number(raw))
 
 
 def match_key(raw: Column) -> Column:
@@ -44,7 +54,7 @@ def manufacturer_number(raw: Column) -> Column:
 
 def brand_name(raw: Column) -> Column:
     """Trimmed, lower case, single spaces; '' for what stands for no brand."""
-    b = F.regexp_replace(F.lower(F.trim(_or_empty(raw))), r"\s+", " ")
+    b = F.regexp_replace(F.lower(stripped(raw)), r"(?U)\s+", " ")
     return F.when(b.isin(NO_BRANDS), "").otherwise(b)
 
 
@@ -76,6 +86,16 @@ def first_entry(text: Column, entries: dict[str, list[str]]) -> Column:
     return F.coalesce(*[F.when(hit, F.lit(name)) for name, hit in hits])
 
 
+def any_of(text: Column, words: list[str]) -> Column:
+    """Whether the lower-case text has any of the words in it."""
+    return F.lower(_or_empty(text)).rlike("|".join(r"\Q" + w + r"\E" for w in words)) if words else F.lit(False)
+
+
+def first_of(text: Column, words: list[str]) -> Column:
+    """The first of the words, in their order, that the lower-case text has in it."""
+    return first_entry(text, {w: [w] for w in words}) if words else F.lit(None).cast("string")
+
+
 def brand_with_confidence(text: Column, entries: dict[str, list[str]]) -> Column:
     """``struct(brand, confidence)``: the first alias found counts by its share of the text; null and 0 without one."""
     low = F.lower(_or_empty(text))
@@ -107,12 +127,19 @@ def needs_check(codes: Column) -> Column:
 
 def flag(raw: Column) -> Column:
     """true/1/yes and false/0/no/empty, any case; anything else gives null."""
-    v = F.lower(F.trim(_or_empty(raw)))
+    v = F.lower(stripped(raw))
     return F.when(v.isin("true", "1", "yes"), True).when(v.isin("false", "0", "no", ""), False)
 
 
 def class_name(raw: Column) -> Column:
-    return F.translate(F.trim(F.lower(_or_empty(raw))), " -", "__")
+    return F.translate(stripped(F.lower(_or_empty(raw))), " -", "__")
+
+
+def detector_class(raw: Column, aliases: dict[str, str | None]) -> Column:
+    """The class that a spelling stands for; null for those that stand for none."""
+    name = class_name(raw)
+    none = [a for a, c in aliases.items() if c is None]
+    return F.when(~name.isin(none), F.coalesce(*[F.when(name == a, F.lit(c)) for a, c in aliases.items() if c is not None], name))
 
 
 def seller_hash(name: Column, digits: int = 12) -> Column:
@@ -139,10 +166,36 @@ def clean_note(note: Column) -> Column:
 
 def index_text(name: Column, description: Column) -> Column:
     """Name and description in one; a missing description adds nothing."""
-    return F.trim(F.concat(_or_empty(name), F.lit(" "), _or_empty(description)))
+    return stripped(F.concat(_or_empty(name), F.lit(" "), _or_empty(description)))
+
+
+#: What a title says that offers parts of both axles, and what else speaks of more than one number.
+BOTH_AXLES = r"front\s*[+&/]\s*rear|rear\s*[+&/]\s*front"
+SEVERAL = r"\bkit\b|\blot\b|\bbulk\b|\bassorted\b"
+
+
+def joint_title(title: Column, lighting: Column, own: Column | None = None) -> Column:
+    """Titles that suggest more than one part number; for lighting only those of both axles. A title that has the part's
+    `own` number (letters and digits, lower case) in it is about that."""
+    joint = F.when(lighting, title.rlike(f"(?i){BOTH_AXLES}")).otherwise(title.rlike(f"(?i){BOTH_AXLES}|{SEVERAL}"))
+    return joint if own is None else joint & ~F.contains(letters_digits(title), own)
+
+
+def title_tokens(title: Column) -> Column:
+    """Tokens of four characters or more that a number can be, as letters and digits, in their order."""
+    return F.transform(F.regexp_extract_all(_or_empty(title), F.lit(r"([A-Za-z0-9][A-Za-z0-9-]{2,}[A-Za-z0-9])"), F.lit(1)), letters_digits)
+
+
+def seller_codes(raw: Column) -> Column:
+    """Codes of a seller's own list of part numbers: six letters and digits or more, one a digit at least."""
+    pieces = F.transform(F.split(_or_empty(raw), "[,;/]"), letters_digits)
+    return F.array_distinct(F.filter(pieces, lambda c: (F.length(c) >= 6) & c.rlike("[0-9]")))
+
+
+def short_number(raw: Column) -> Column:
+    return (F.length(letters_digits(raw)) <= 4).cast("int")
 
 
-def joint_title(title: Column, lighting: Column) -> Column:
-    """Titles that suggest more than one part number; for lighting only those of both axles."""
-    axles = r"(?i)front\s*[+&/]\s*rear|rear\s*[+&/]\s*front"
-    return F.when(lighting, title.rlike(axles)).otherwise(title.rlike(axles + r"|\bkit\b|\blot\b|\bbulk\b|\bassorted\b"))
+def junk_number(own: Column) -> Column:
+    """Numbers without a digit, of under four characters, or that begin like a note."""
+    return ~own.rlike("[0-9]") | F.startswith(own, F.lit("update")) | (F.length(own) < 4)

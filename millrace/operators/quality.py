@@ -8,11 +8,12 @@ from pyspark.sql import functions as F
 from millrace.functions import text as X
 from millrace.functions.dictionaries import BRANDS
 
+#: The fields that a row must have, and, below, the words of the checks' messages.
 REQUIRED = ("part_number_raw", "category", "name", "source_url", "source_site", "collected_by")
 
 
 def _trimmed(c: str) -> Column:
-    return F.trim(F.coalesce(F.col(c), F.lit("")))
+    return X.stripped(F.col(c))
 
 
 def validate(rows: DataFrame, categories: DataFrame | None = None, brands: dict[str, list[str]] = BRANDS) -> DataFrame:
@@ -56,4 +57,4 @@ def vote(rows: DataFrame, key: str, value: str, order: str, least: str = "unknow
 
 def remap_labels(lines: DataFrame, mapping: DataFrame) -> DataFrame:
     """Label lines with their new class ids; classes that map to nothing or to a negative id go."""
-    return lines.join(F.broadcast(mapping), "class_id").where("new_id >= 0").drop("class_id").withColumnRenamed("new_id", "class_id")
+    return lines.join(mapping, "class_id").where("new_id >= 0").drop("class_id").withColumnRenamed("new_id", "class_id")

@@ -54,3 +54,25 @@ def discard(*tables: DataFrame) -> None:
             fs, p = _hadoop_path(df.sparkSession, path)
             fs.delete(p, True)
             fs.cancelDeleteOnExit(p)
+
+
+def write_text(spark: SparkSession, path: str, text: str, overwrite: bool = True) -> None:
+    """One small text file, in any store that Spark writes to."""
+    fs, p = _hadoop_path(spark, path)
+    out = fs.create(p, overwrite)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+
+
+def read_text(spark: SparkSession, path: str) -> str | None:
+    """The whole of one small text file; None if there is none."""
+    if not exists(spark, path):
+        return None
+    return spark.read.option("wholetext", True).text(path).first()[0]
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, p = _hadoop_path(spark, path)
+    return fs.exists(p)
