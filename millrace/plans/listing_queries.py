@@ -22,7 +22,8 @@ def _number(g):
 def _items(spark, d) -> DataFrame:
     i = F.col("p_partkey")
     g = i % 150
-    extra = F.when(i % 6 == 0, F.concat(F.lit("no "), _number(g))).when(i % 6 == 1, "Front + Rear").when(i % 6 == 2, "for K1004").when(i % 6 == 3, "brake kit").otherwise("")
+    v = (i + F.floor(i / 150)) % 6
+    extra = F.when(v == 0, F.concat(F.lit("no "), _number(g))).when(v == 1, "Front + Rear").when(v == 2, "for K1004").when(v == 3, "brake kit").otherwise("")
     return spark.read.parquet(f"{d}/part.parquet").select(
         i.alias("item_id"), i.alias("seq"), _number(g).alias("mpn"), F.when(i % 11 == 0, "").when(g % 2 == 0, "acme").when(i % 13 == 0, "other").otherwise("zeta").alias("brand"), F.concat(F.lit("s"), (F.floor(i / 150) % 4).cast("string")).alias("seller"),
         F.concat("p_name", F.lit(" "), extra).alias("title"), F.col("p_type").alias("query"), F.concat(F.lit("Parts|Car|"), _pick(LEAVES, g)).alias("category"), F.concat(_number(g), F.lit(", OEM"), (1000 + i % 90).cast("string"), F.lit("; X1")).alias("mpn_raw"),
@@ -55,7 +56,7 @@ _NORM = "regexp_replace(lower({0}), '[^a-z0-9]', '', 'g')"
 _LABEL = "CASE {0} " + " ".join(f"WHEN '{k.replace(chr(39), chr(39) * 2)}' THEN '{v}'" for k, v in D.LEAF_LABELS.items()) + " END"
 _INPUT = f"""
 WITH RECURSIVE it AS (SELECT p_partkey AS i, {_NUM.format('(p_partkey % 150)')} AS mpn, CASE WHEN p_partkey % 11 = 0 THEN '' WHEN p_partkey % 150 % 2 = 0 THEN 'acme' WHEN p_partkey % 13 = 0 THEN 'other' ELSE 'zeta' END AS brand0, 's' || (p_partkey // 150 % 4) AS seller,
-  p_name || ' ' || CASE p_partkey % 6 WHEN 0 THEN 'no ' || {_NUM.format('(p_partkey % 150)')} WHEN 1 THEN 'Front + Rear' WHEN 2 THEN 'for K1004' WHEN 3 THEN 'brake kit' ELSE '' END AS title, p_type AS query, 'Parts|Car|' || list_extract({_listed(LEAVES)}, (p_partkey % 150 % {len(LEAVES)} + 1)::INT) AS category FROM part),
+  p_name || ' ' || CASE (p_partkey + p_partkey // 150) % 6 WHEN 0 THEN 'no ' || {_NUM.format('(p_partkey % 150)')} WHEN 1 THEN 'Front + Rear' WHEN 2 THEN 'for K1004' WHEN 3 THEN 'brake kit' ELSE '' END AS title, p_type AS query, 'Parts|Car|' || list_extract({_listed(LEAVES)}, (p_partkey % 150 % {len(LEAVES)} + 1)::INT) AS category FROM part),
 im AS (SELECT i, j, 'img/' || i || '_' || j || '.jpg' AS image, xor(('0x' || substr(md5(CASE WHEN i % 5 = 0 AND j = 0 THEN 'c' || (i % 150) WHEN i % 7 = 0 AND j = 1 THEN 'u' || (i - 600) || '_1' ELSE 'u' || i || '_' || j END), 1, 15))::BIGINT, i % 3) AS phash, 150 + i % 300 AS side FROM it, range(2) r(j) WHERE j = 0 OR i % 4 <> 1)"""
 _BUILD = f"""{_INPUT},
 v0 AS (SELECT *, coalesce(nullif(brand0, ''), 'unknown') AS brand1 FROM it WHERE mpn <> ''),
@@ -105,13 +106,13 @@ def unknown_parts(spark, d):
 def _known(spark, d) -> DataFrame:
     """What the catalogue has: the numbers of the first sixty groups, some of whose titles hold another number."""
     i = F.col("p_partkey")
-    return spark.read.parquet(f"{d}/part.parquet").where("p_partkey < 60").select(_number(i).alias("mpn"), F.concat("p_name", F.when(i % 7 == 0, F.concat(F.lit(" K"), (1060 + i).cast("string"), F.lit("XY77"))).otherwise("")).alias("title"))
+    return spark.read.parquet(f"{d}/part.parquet").where("p_partkey < 60").select(_number(i).alias("mpn"), F.concat("p_name", F.when(i % 7 == 0, F.concat(F.lit(" K"), (1061 + i).cast("string"), F.lit("XY77"))).otherwise("")).alias("title"))
 
 
 _UNKNOWN = f"""{_INPUT},
 it2 AS (SELECT *, {_NORM.format('mpn')} AS number, {_LABEL.format("list_extract(string_split(category, '|'), -1)")} AS label FROM it),
 ft AS (SELECT * FROM it2 WHERE number NOT IN ({', '.join(f"'{x}'" for x in listings.NO_NUMBER)}) AND length(number) >= 5 AND brand0 <> '' AND label IN ({', '.join(f"'{x}'" for x in listings.NEAR_LABELS)})),
-kn AS (SELECT {_NORM.format(_NUM.format('p_partkey'))} AS own, p_name || CASE WHEN p_partkey % 7 = 0 THEN ' K' || (1060 + p_partkey) || 'XY77' ELSE '' END AS title FROM part WHERE p_partkey < 60),
+kn AS (SELECT {_NORM.format(_NUM.format('p_partkey'))} AS own, p_name || CASE WHEN p_partkey % 7 = 0 THEN ' K' || (1061 + p_partkey) || 'XY77' ELSE '' END AS title FROM part WHERE p_partkey < 60),
 tk AS (SELECT own AS token FROM kn UNION SELECT unnest(list_filter(list_transform(regexp_extract_all(title, '[A-Za-z0-9][A-Za-z0-9-]*[A-Za-z0-9]'), lambda t: regexp_replace(lower(t), '[^a-z0-9]', '', 'g')), lambda t: length(t) >= 7 AND regexp_matches(t, '[0-9]'))) FROM kn),
 sm AS (SELECT DISTINCT number FROM (SELECT number, unnest(list_append(list_filter(list_transform(regexp_extract_all(title, '[A-Za-z0-9][A-Za-z0-9-]*[A-Za-z0-9]'), lambda t: regexp_replace(lower(t), '[^a-z0-9]', '', 'g')), lambda t: length(t) >= 7 AND regexp_matches(t, '[0-9]')), number)) AS token FROM ft) WHERE token IN (SELECT token FROM tk)),
 sh AS (SELECT i, image, row_number() OVER (PARTITION BY i ORDER BY image) AS place FROM im),

@@ -6,7 +6,7 @@ from collections.abc import Callable
 from importlib import import_module
 
 #: Modules that each have QUERIES (name -> function of a session and a folder) and ORACLE (name -> SQL).
-MODULES: tuple[str, ...] = ("millrace.plans.vector_queries", "millrace.plans.text_queries", "millrace.plans.table_queries", "millrace.plans.service_queries", "millrace.plans.listing_queries")
+MODULES: tuple[str, ...] = ("millrace.plans.vector_queries", "millrace.plans.text_queries", "millrace.plans.table_queries", "millrace.plans.service_queries", "millrace.plans.listing_queries", "millrace.plans.split_queries")
 
 
 def queries() -> dict[str, Callable]:
