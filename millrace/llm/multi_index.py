@@ -1,7 +1,7 @@
 """Nearest vectors by an inverted multi-index.
 
-Two codebooks, one for each half of the vectors, are fitted to a bounded sample. Every vector falls into the cell of its two
-centroids. A query visits cells in falling order of the two inner products' sum, which a heap yields pair by pair, until the
+Two codebooks, one for each half of the vectors, are fitted to a bounded sample; their sizes follow the table's, so that
+cells hold about as many vectors at any size. Every vector falls into the cell of its two centroids. A query visits cells in falling order of the two inner products' sum, which a heap yields pair by pair, until the
 cells hold enough vectors, and the visited entries are ranked again by exact inner product. How many are enough is measured:
 the exact neighbours of some audited queries are found by brute force, and the reach is set to where their cells stand.
 """
@@ -9,44 +9,52 @@ the exact neighbours of some audited queries are found by brute force, and the r
 from __future__ import annotations
 
 import heapq
+import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.vectors import BLOCK_ROWS, matrix, pack, probe, usable
+from millrace.llm.sampling import bounded
+from millrace.llm.vectors import BLOCK_ROWS, matrix, pack, probe, unpack, usable
 from millrace.storage import written
 
 #: Neighbours of a query, every how many-th id is a query.
 NEAREST, EVERY = 20, 20
-#: Centroids of a half, vectors of the sample that fits them at most, and rounds of fitting.
-CENTROIDS, SAMPLE, ROUNDS = 32, 16_384, 12
+#: Centroids of a half at least and at most, vectors of the sample for each of them at most, and rounds of fitting.
+LEAST_CENTROIDS, CENTROIDS, SAMPLE, ROUNDS = 8, 1_024, 64, 12
+#: Vectors that a cell holds, about, while there are fewer centroids than the most.
+CELL_ROWS = 16
 #: Audited queries at most, and the share of their neighbours that the visited cells must hold.
 AUDITED, WANTED = 96, 0.97
 #: Vectors of a shard of entries at most, and shards at least.
-SHARD_ROWS, LEAST_SHARDS = 262_144, 8
+SHARD_ROWS, LEAST_SHARDS = 262_144, 6
 
 
+def centroids(n: int) -> int:
+    """How many each half gets for a table of n vectors."""
+    return max(LEAST_CENTROIDS, min(CENTROIDS, math.isqrt(n // CELL_ROWS)))
 
 
-def fit(half: np.ndarray, seed: int) -> np.ndarray:
-    """Centroids of one half by k-means from spread-out starts; as many as there are distinct rows, if fewer."""
+def fit(half: np.ndarray, seed: int, many: int = 32) -> np.ndarray:
+    """At most `many` centroids of one half by k-means from spread-out starts; as many as there are distinct rows, if fewer."""
     rng = np.random.default_rng(seed)
     half = np.unique(half, axis=0)
-    centres = half[[int(rng.integers(len(half)))]]
+    centres = np.empty((min(many, len(half)), half.shape[1]))
+    centres[0] = half[int(rng.integers(len(half)))]
     gap = ((half - centres[0]) ** 2).sum(axis=1)
-    while len(centres) < min(CENTROIDS, len(half)):
+    for k in range(1, len(centres)):
         total = gap.sum()
-        pick = int(rng.choice(len(half), p=gap / total)) if total > 0 else int(rng.integers(len(half)))
-        centres = np.vstack([centres, half[pick]])
-        gap = np.minimum(gap, ((half - half[pick]) ** 2).sum(axis=1))
+        centres[k] = half[int(rng.choice(len(half), p=gap / total)) if total > 0 else int(rng.integers(len(half)))]
+        gap = np.minimum(gap, ((half - centres[k]) ** 2).sum(axis=1))
     for _ in range(ROUNDS):
         near = assign(half, centres)
         sums = np.zeros_like(centres)
         np.add.at(sums, near, half)
-        many = np.bincount(near, minlength=len(centres))
-        centres = np.where(many[:, None] > 0, sums / np.maximum(many, 1)[:, None], centres)
+        count = np.bincount(near, minlength=len(centres))
+        centres = np.where(count[:, None] > 0, sums / np.maximum(count, 1)[:, None], centres)
     return centres
 
 
@@ -76,48 +84,92 @@ def traverse(first: np.ndarray, second: np.ndarray, many: np.ndarray, enough: in
     return out
 
 
-def _top(scores: np.ndarray, ids: np.ndarray, v: np.ndarray, q: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The k best of the entries by exact inner product, ties to smaller ids. scores: the products up to rounding."""
-    keep = ids != own
-    scores, ids, v = scores[keep], ids[keep], v[keep]
+def _top(scores: np.ndarray, ids: np.ndarray, v: np.ndarray, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k best of the entries by exact inner product, ties to smaller ids: their places. scores: the products up to rounding."""
+    at = np.arange(len(ids))
     if len(ids) > k:
         # All that could be among the best, whatever the rounding.
         least = np.partition(scores, len(scores) - k)[len(scores) - k]
-        near = scores >= least - 1e-9 * max(1.0, abs(float(least)))
-        ids, v = ids[near], v[near]
-    exact = (v * q).sum(axis=1)
-    order = np.lexsort((ids, -exact))[:k]
-    return ids[order], exact[order]
+        at = np.flatnonzero(scores >= least - 1e-9 * max(1.0, abs(float(least))))
+    exact = (v[at] * q).sum(axis=1)
+    order = np.lexsort((ids[at], -exact))[:k]
+    return at[order], exact[order]
+
+
+def _halves(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    cut = (v.shape[-1] + 1) // 2
+    return v[..., :cut], v[..., cut:]
+
+
+def _books(rows: DataFrame, n: int) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Codebooks of each dimension, fitted in one task to a sample of at most SAMPLE vectors a centroid."""
+    many = centroids(n)
+
+    def fitted(pdf: pd.DataFrame) -> pd.DataFrame:
+        v = matrix(pdf["v"])
+        v = v[np.lexsort(v.T[::-1])]
+        one, two = _halves(v)
+        books = pack(one=fit(one, 1, many), two=fit(two, 2, many) if two.shape[1] else np.zeros((1, 0)))
+        return pd.DataFrame({"dim": [int(v.shape[1])], "books": [books]})
+
+    sample = bounded(rows, "sample", F.xxhash64("id", "v"), SAMPLE * many).select("dim", "v")
+    books = {r.dim: unpack(r.books) for r in sample.groupBy("dim").applyInPandas(fitted, "dim int, books binary").collect()}
+    books = {dim: (b["one"], b["two"]) for dim, b in books.items()}
+    for (dim,) in rows.select("dim").distinct().collect():
+        # A dimension so rare that the sample has none: one cell.
+        books.setdefault(dim, tuple(np.zeros((1, x.shape[-1])) for x in _halves(np.zeros(dim))))
+    return books
 
 
 def _entries(books: dict[int, tuple[np.ndarray, np.ndarray]]):
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
         v, dim = matrix(pdf["v"]), int(pdf["dim"].iloc[0])
         one, two = books[dim]
-        cut = (dim + 1) // 2
-        cell = assign(v[:, :cut], one) * len(two) + assign(v[:, cut:], two)
-        order = np.lexsort((pdf["id"].to_numpy(np.int64), cell))
-        many = np.bincount(cell, minlength=len(one) * len(two))
-        blob = pack(v=v[order], ids=pdf["id"].to_numpy(np.int64)[order], first=np.concatenate([[0], np.cumsum(many)]), one=one, two=two)
-        return pd.DataFrame({"dim": [dim], "shard": [int(pdf["shard"].iloc[0])], "blob": [blob], "many": [many.astype(np.int64)]})
+        first, second = _halves(v)
+        cell = assign(first, one) * len(two) + assign(second, two)
+        row, ids = pdf["row"].to_numpy(np.int64), pdf["id"].to_numpy(np.int64)
+        order = np.lexsort((row, ids, cell))
+        cells, start, many = np.unique(cell[order], return_index=True, return_counts=True)
+        blob = pack(v=v[order], ids=ids[order], rows=row[order], cells=cells, first=np.append(start, len(v)))
+        return pd.DataFrame({"dim": [dim], "shard": [int(pdf["shard"].iloc[0])], "blob": [blob], "cells": [cells.astype(np.int64)], "many": [many.astype(np.int64)]})
 
     return build
 
 
-def _ask(counts: dict[int, np.ndarray], enough: dict[int, int], k: int):
+def _visits(queries: DataFrame, books: dict, counts: dict, enough: dict[int, int]) -> DataFrame:
+    """`queries` with the ``cells`` that each visits, found once for all shards."""
+    sent = queries.sparkSession.sparkContext.broadcast((books, counts, enough))  # at most CENTROIDS ** 2 counts a dimension
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        books, counts, enough = sent.value
+        for pdf in batches:
+            cells = []
+            for q in pdf["v"]:
+                q = np.asarray(q, dtype=np.float64)
+                (a, b), (one, two) = _halves(q), books[len(q)]
+                cells.append(traverse(one @ a, two @ b, counts[len(q)], enough[len(q)]))
+            yield pdf.assign(cells=cells)
+
+    return queries.mapInPandas(run, "row long, id long, v array<double>, dim int, cells array<long>")
+
+
+def _ask(k: int):
     def ask(index: dict[str, np.ndarray], queries: pd.DataFrame) -> pd.DataFrame:
-        v, ids, first, one, two = (index[x] for x in ("v", "ids", "first", "one", "two"))
-        q, own = matrix(queries["v"]), queries["id"].to_numpy(np.int64)
-        dim = q.shape[1]
-        cut, out = (dim + 1) // 2, []
-        a, b = q[:, :cut] @ one.T, q[:, cut:] @ two.T
-        for i in range(len(q)):
-            cells = np.array(traverse(a[i], b[i], counts[dim], enough[dim]), dtype=np.int64)
-            long = first[cells + 1] - first[cells]
-            at = np.repeat(first[cells] - (np.cumsum(long) - long), long) + np.arange(int(long.sum()))
-            near, score = _top(v[at] @ q[i], ids[at], v[at], q[i], own[i], k)
-            out.append(pd.DataFrame({"query_id": own[i], "vec_id": near, "score": score}))
-        return pd.concat(out)
+        v, ids, rows, cells, first = (index[x] for x in ("v", "ids", "rows", "cells", "first"))
+        q, own = matrix(queries["v"]), queries["row"].to_numpy(np.int64)
+        near, scores, of = [], [], []
+        for i, visit in enumerate(queries["cells"]):
+            visit = np.asarray(visit, dtype=np.int64)
+            place = np.minimum(np.searchsorted(cells, visit), len(cells) - 1)
+            place = place[cells[place] == visit]
+            long = first[place + 1] - first[place]
+            at = np.repeat(first[place] - (np.cumsum(long) - long), long) + np.arange(int(long.sum()))
+            at = at[rows[at] != own[i]]
+            some = v[at]
+            best, score = _top(some @ q[i], ids[at], some, q[i], k)
+            near.append(ids[at[best]]), scores.append(score), of.append(np.full(len(best), i))
+        of = np.concatenate(of)
+        return pd.DataFrame({"row": own[of], "query_id": queries["id"].to_numpy(np.int64)[of], "vec_id": np.concatenate(near), "score": np.concatenate(scores)})
 
     return ask
 
@@ -126,12 +178,13 @@ def _exactly(k: int):
     """Brute force for the audit, with the cell of each neighbour."""
 
     def ask(index: dict[str, np.ndarray], queries: pd.DataFrame) -> pd.DataFrame:
-        v, ids, first = (index[x] for x in ("v", "ids", "first"))
-        place, out = {int(i): n for n, i in enumerate(ids)}, []
-        for q, own in zip(matrix(queries["v"]), queries["id"]):
-            near, score = _top(v @ q, ids, v, q, own, k)
-            cell = np.searchsorted(first, [place[int(i)] for i in near], side="right") - 1
-            out.append(pd.DataFrame({"query_id": own, "vec_id": near, "score": score, "cell": cell.astype(np.int64)}))
+        v, ids, rows, cells, first = (index[x] for x in ("v", "ids", "rows", "cells", "first"))
+        out = []
+        for q, own in zip(matrix(queries["v"]), queries["row"]):
+            at = np.flatnonzero(rows != own)
+            best, score = _top(v[at] @ q, ids[at], v[at], q, k)
+            cell = cells[np.searchsorted(first, at[best], side="right") - 1]
+            out.append(pd.DataFrame({"row": own, "vec_id": ids[at[best]], "score": score, "cell": cell}))
         return pd.concat(out)
 
     return ask
@@ -142,12 +195,11 @@ def _reach(audit: list, vectors: dict[int, np.ndarray], books, counts: dict[int,
     found: dict[int, list[float]] = {}
     for own, q in vectors.items():
         dim = len(q)
-        one, two = books[dim]
-        cut = (dim + 1) // 2
-        cells = traverse(one @ q[:cut], two @ q[cut:], counts[dim], int(counts[dim].sum()))
+        (a, b), (one, two) = _halves(q), books[dim]
+        cells = traverse(one @ a, two @ b, counts[dim], int(counts[dim].sum()))
         before = np.concatenate([[0], np.cumsum(counts[dim][cells])[:-1]])
         stands = dict(zip(cells, before.tolist()))
-        found.setdefault(dim, []).extend(stands[r.cell] + 1 for r in audit if r.query_id == own)
+        found.setdefault(dim, []).extend(stands[r.cell] + 1 for r in audit if r.row == own)
     total = {dim: int(c.sum()) for dim, c in counts.items()}
     return {dim: min(total[dim], int(np.quantile(found[dim], WANTED, method="higher")) + k) if found.get(dim) else total[dim] for dim in counts}
 
@@ -158,37 +210,32 @@ def nearest(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding"
 
     score is the inner product of the vectors as they are, in double precision. Vectors that are null, empty, all zero or
     have a null or non-finite component, and rows without an id, take no part; vectors are compared with those of their
-    length. Of rows that repeat an id, the one with the least vector takes part. Extra columns are left out; a table
-    without queries gives no rows.
+    length. Rows that repeat an id are rows of their own: each is a candidate, and each a query, if its id is one, that may
+    find the others. Extra columns are left out; a table without queries gives no rows.
     """
-    spark = df.sparkSession
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
-    rows = written(rows.where(usable("v") & F.col("id").isNotNull()).groupBy("id").agg(F.min("v").alias("v")).withColumn("dim", F.size("v")), "entries")
+    rows = written(rows.where(usable("v") & F.col("id").isNotNull()).select(F.monotonically_increasing_id().alias("row"), "id", "v", F.size("v").alias("dim")), "entries")
     n = rows.count()
-    # A bounded sample by hash, all of it if that is no more.
-    sample = rows.orderBy(F.xxhash64(F.lit("sample"), "id"), "id").limit(SAMPLE).select("dim", "v").collect()
-    books: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-    for dim in sorted({r.dim for r in rows.select("dim").distinct().collect()}):
-        x = np.array([r.v for r in sample if r.dim == dim] or [[0.0] * dim], dtype=np.float64)
-        cut = (dim + 1) // 2
-        books[dim] = (fit(x[:, :cut], 1), fit(x[:, cut:], 2) if dim > 1 else np.zeros((1, 0)))
+    books = _books(rows, n)
     shards = max(LEAST_SHARDS, -(-n // SHARD_ROWS))
-    shard = F.pmod(F.xxhash64(F.lit("entry"), "id"), F.lit(shards)).cast("int")
-    index = written(rows.withColumn("shard", shard).groupBy("dim", "shard").applyInPandas(_entries(books), "dim int, shard int, blob binary, many array<long>"), "multi-index")
-    # Counts of cells: centroids squared numbers a dimension, added up over the shards.
-    cells = index.select("dim", F.posexplode("many").alias("cell", "many")).groupBy("dim", "cell").agg(F.sum("many").alias("many")).collect()
+    shard = F.pmod(F.xxhash64(F.lit("entry"), "row"), F.lit(shards)).cast("int")
+    index = written(rows.withColumn("shard", shard).groupBy("dim", "shard").applyInPandas(_entries(books), "dim int, shard int, blob binary, cells array<long>, many array<long>"), "multi-index")
+    # Counts of the cells that hold something: at most centroids squared numbers a dimension, added up over the shards.
+    cells = index.select("dim", F.explode(F.arrays_zip("cells", "many")).alias("c")).groupBy("dim", F.col("c.cells").alias("cell")).agg(F.sum("c.many").alias("many")).toArrow()
     counts = {dim: np.zeros(len(one) * len(two), dtype=np.int64) for dim, (one, two) in books.items()}
-    for r in cells:
-        counts[r.dim][r.cell] = r.many
+    dims, places, many = (cells.column(x).to_numpy() for x in ("dim", "cell", "many"))
+    for dim in counts:
+        counts[dim][places[dims == dim]] = many[dims == dim]
     queries = rows.where(F.col("id") % every == 0)
     entries = index.select("dim", "shard", "blob")
-    audited = queries.orderBy(F.xxhash64(F.lit("audit"), "id"), "id").limit(AUDITED)
-    exact = probe(entries, audited, "id", shards, 1, _exactly(k), "query_id long, vec_id long, score double, cell long")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    audited = written(bounded(queries, "audit", F.xxhash64("id", "v"), AUDITED), "audited")
+    exact = probe(entries, audited, "row", shards, 1, _exactly(k), "row long, vec_id long, score double, cell long")
+    best = Window.partitionBy("row").orderBy(F.desc("score"), "vec_id")
+    # At most AUDITED queries with k neighbours each.
     audit = exact.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).collect()
-    enough = _reach(audit, {r.id: np.array(r.v) for r in audited.collect()}, books, counts, k)
+    enough = _reach(audit, {r.row: np.array(r.v) for r in audited.collect()}, books, counts, k)
     blocks = max(1, -(-(n // every) // BLOCK_ROWS))
-    found = probe(entries, queries, "id", shards, blocks, _ask(counts, enough, k), "query_id long, vec_id long, score double")
+    found = probe(entries, _visits(queries, books, counts, enough), "row", shards, blocks, _ask(k), "row long, query_id long, vec_id long, score double")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 

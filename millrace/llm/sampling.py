@@ -10,14 +10,25 @@ PARTS = 4_096
 
 
 def bounded(df: DataFrame, name: str, key: Column, most: int) -> DataFrame:
-    """At most `most` rows of `df`: those whose hash of name and key falls into the first parts, as many whole parts as fit.
+    """At most `most` rows of `df`, by a hash of name and key: whole parts of the hash, in order, as long as they fit.
 
-    All rows, if they are no more than `most`. Reruns agree.
+    All rows, if they are no more than `most`. A part that alone is too large (a key that very many rows share) is passed
+    over; if parts are too coarse, one of them is cut again. Reruns agree.
     """
-    part = F.pmod(F.xxhash64(F.lit(name), key), F.lit(PARTS)).cast("int")
-    counts = {r["part"]: r["n"] for r in df.groupBy(part.alias("part")).agg(F.count("*").alias("n")).collect()}
-    upto, held = 0, 0
-    while upto < PARTS and held + counts.get(upto, 0) <= most:
-        held += counts.get(upto, 0)
-        upto += 1
-    return df if upto == PARTS else df.where(part < upto)
+    inside, chosen, held = F.lit(True), F.lit(False), 0
+    for level in range(4):
+        part = F.pmod(F.xxhash64(F.lit(f"{name} {level}"), key), F.lit(PARTS)).cast("int")
+        counts = {r["part"]: r["n"] for r in df.where(inside).groupBy(part.alias("part")).agg(F.count("*").alias("n")).collect()}
+        if not level and sum(counts.values()) <= most:
+            return df
+        taken = []
+        for k in sorted(counts):
+            if held + counts[k] <= most:
+                held += counts[k]
+                taken.append(k)
+        chosen = chosen | (inside & part.isin(taken)) if taken else chosen
+        rest = sorted(set(counts) - set(taken))
+        if not rest or held >= most // 2:
+            break
+        inside = inside & (part == rest[len(rest) // 2])
+    return df.where(chosen)

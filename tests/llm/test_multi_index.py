@@ -37,7 +37,7 @@ def test_recall_and_order(spark):
 def test_few_and_odd_rows(spark):
     rows = [(0, [1.0, 2.0, 3.0]), (1, [3.0, 2.0, 1.0]), (2, None), (3, [0.0, 0.0, 0.0]), (4, [float("nan"), 1.0, 1.0]), (5, [None, 1.0, 1.0]), (6, []), (20, [1.0]), (40, [2.0]), (7, [-1.0, 0.5, 2.0]), (7, [-1.0, 0.5, 2.0]), (None, [1.0, 1.0, 1.0]), (60, [float("inf"), 0.0, 0.0])]
     got = multi_index.nearest(spark.createDataFrame([(*r, 5) for r in rows], "vec_id long, embedding array<double>, rank int")).collect()
-    assert sorted((r.query_id, r.rank, r.vec_id, r.score) for r in got) == [(0, 1, 1, 10.0), (0, 2, 7, 6.0), (20, 1, 40, 2.0), (40, 1, 20, 2.0)]
+    assert sorted((r.query_id, r.rank, r.vec_id, r.score) for r in got) == [(0, 1, 1, 10.0), (0, 2, 7, 6.0), (0, 3, 7, 6.0), (20, 1, 40, 2.0), (40, 1, 20, 2.0)]
 
 
 def test_empty(spark):
@@ -58,3 +58,22 @@ def test_table_recall(spark, sf):
     want = brute(rows, 20, 20)
     got = {(r.query_id, r.vec_id) for r in multi_index.op10(spark, sf).collect()}
     assert sum((i, j) in got for i, js in want.items() for _, j in js) >= 0.9 * sum(map(len, want.values()))
+
+
+def test_repeated_ids_are_rows_of_their_own(spark):
+    rows = [(20, [1.0, 0.0]), (20, [0.0, 1.0]), (3, [2.0, 0.5]), (3, [0.5, 3.0])]
+    got = sorted((r.query_id, r.rank, r.vec_id, r.score) for r in multi_index.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), k=3).collect())
+    assert got == sorted([(20, 1, 3, 2.0), (20, 2, 3, 0.5), (20, 3, 20, 0.0), (20, 1, 3, 3.0), (20, 2, 3, 0.5), (20, 3, 20, 0.0)])
+
+
+def test_bounded_sample(spark):
+    from pyspark.sql import functions as F
+
+    from millrace.llm.sampling import bounded
+
+    df = spark.range(60_000).withColumn("k", F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id")))
+    for most in (10, 500, 20_000):
+        for key in ("id", "k"):
+            n = bounded(df, "x", F.col(key), most).count()
+            assert most // 4 <= n <= most, (most, key, n)
+    assert bounded(df, "x", F.col("id"), 60_000).count() == 60_000
