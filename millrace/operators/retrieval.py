@@ -284,6 +284,32 @@ def delete_product(images: DataFrame, texts: DataFrame, product_id: int) -> tupl
     return remove_product(images, one), remove_product(texts, one), 200 if found else 404
 
 
+def index_product(spark: SparkSession, path: str, product_id: int, embedding: list[float], category: str | None = None) -> None:
+    """Add one product's vector, with its category if it has one."""
+    row = [(product_id, [float(x) for x in embedding], {"category": category} if category else None)]
+    append_points(spark.createDataFrame(row, "product_id long, embedding array<float>, payload map<string,string>"), path)
+
+
+def rebuild(products: DataFrame, vectors: DataFrame, path: str) -> tuple[int, int]:
+    """Write the index anew from all products with an image: how many have a vector now, and how many have none.
+
+    products: product_id, image_url, category_name; vectors: product_id, embedding, null where a picture couldn't be read.
+    """
+    shown = products.where("image_url is not null and image_url != ''").join(vectors, "product_id", "left")
+    payload = F.when(F.col("category_name").isNotNull(), F.create_map(F.lit("category"), "category_name"))
+    good = shown.where("embedding is not null").select(F.expr("uuid()").alias("point_id"), F.col("product_id").cast("long").alias("product_id"), F.col("embedding").cast("array<float>").alias("embedding"), payload.alias("payload"))
+    good.write.mode("overwrite").parquet(path)
+    indexed = products.sparkSession.read.parquet(path).count()
+    return indexed, shown.count() - indexed
+
+
+def mock_points(spark: SparkSession, n: int, dim: int, seed: int = 0) -> DataFrame:
+    """Points with random unit vectors, for trials."""
+    v = F.transform(F.sequence(F.lit(1), F.lit(dim)), lambda k: F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("id").cast("string"), k.cast("string"))), 1, 8), 16, 10).cast("double") / 2.0**31 - 1)
+    points = spark.range(n).select(F.col("id").cast("string").alias("point_id"), F.col("id").alias("product_id"), v.alias("v"))
+    return points.select("point_id", "product_id", V.normalised(F.col("v")).cast("array<float>").alias("embedding"))
+
+
 def dual_index(products: DataFrame, images: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Points of the image and of the text index, both only for products with an image url and a vector.
 

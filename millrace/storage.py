@@ -70,7 +70,7 @@ def read_text(spark: SparkSession, path: str) -> str | None:
     """The whole of one small text file; None if there is none."""
     if not exists(spark, path):
         return None
-    return spark.read.option("wholetext", True).text(path).first()[0]
+    return spark.read.text(path, wholetext=True).first()[0]
 
 
 def exists(spark: SparkSession, path: str) -> bool:
