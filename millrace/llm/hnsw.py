@@ -10,6 +10,8 @@ from __future__ import annotations
 import numpy as np
 
 NONE = np.int32(-1)
+#: Nodes that a query expands in a step, at least.
+EXPAND = 6
 
 
 class Graph:
@@ -18,7 +20,7 @@ class Graph:
         self.v, self.links = np.ascontiguousarray(vectors, dtype=np.float32), links
 
     @classmethod
-    def build(cls, vectors: np.ndarray, keys: np.ndarray, m: int = 16, beam: int = 64, batch: int = 256) -> tuple["Graph", np.ndarray]:
+    def build(cls, vectors: np.ndarray, keys: np.ndarray, m: int = 16, beam: int = 48, batch: int = 512) -> tuple["Graph", np.ndarray]:
         """The graph and the order of its nodes. keys: well mixed 64-bit numbers, which decide the levels; reruns agree."""
         u = (keys.astype(np.uint64) >> np.uint64(11)).astype(np.float64) / 2.0**53
         level = np.floor(-np.log(np.maximum(u, 1e-300)) / np.log(m)).astype(int)
@@ -102,8 +104,12 @@ class Graph:
                 entry = self._beam(level, q, entry, 12, len(self.links[level]))[0][:, :6]
         return entry
 
-    def _beam(self, k: int, q: np.ndarray, entry: np.ndarray, width: int, n: int, expand: int = 4) -> tuple[np.ndarray, np.ndarray]:
-        """The best `width` nodes that each query reaches, with their similarity, in falling order; -1 where fewer."""
+    def _beam(self, k: int, q: np.ndarray, entry: np.ndarray, width: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """The best `width` nodes that each query reaches, with their similarity, in falling order; -1 where fewer.
+
+        In each step a query looks at the neighbours of its best few nodes that are still open, more of them for wide beams.
+        """
+        expand = max(EXPAND, width // 8)
         links, rows = self.links[k], np.arange(len(q))
         width = max(1, min(width, n))
         expand = min(expand, width)
