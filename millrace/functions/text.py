@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from functools import reduce
+import re
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -79,11 +79,32 @@ def find_part_number(text: Column) -> Column:
     return F.coalesce(*[longest(F.regexp_extract_all(upper, F.lit(f"({p})"), F.lit(1))) for p in NUMBER_SHAPES])
 
 
+def _any_place(words: list[str]) -> str:
+    """A regex that at each place of a text captures the first of the words, in their order, that begins there. Words are
+    grouped by their first letter, so at most places one look is enough."""
+    by: dict[str, list[str]] = {}
+    for w in words:
+        by.setdefault(w[0], []).append(re.escape(w[1:]))
+    return "(?=(" + "|".join(f"{re.escape(c)}(?:{'|'.join(rest)})" for c, rest in by.items()) + "))"
+
+
+def _earliest(low: Column, words: list[str]) -> Column:
+    """Which of the words, counted from 1, is the first in their order that the text has anywhere; null for none.
+
+    One scan of the text: where the earliest word stands, no word before it in order can begin, so it is what is captured.
+    """
+    found = F.array_distinct(F.regexp_extract_all(low, F.lit(_any_place(words)), F.lit(1)))
+    order = F.array(*[F.lit(w) for w in words])
+    return F.array_min(F.transform(found, lambda w: F.array_position(order, w)))
+
+
 def first_entry(text: Column, entries: dict[str, list[str]]) -> Column:
     """Name of the first entry that has an alias in the lower-case text."""
-    low = F.lower(_or_empty(text))
-    hits = [(name, reduce(lambda a, b: a | b, [F.contains(low, F.lit(a)) for a in aliases])) for name, aliases in entries.items()]
-    return F.coalesce(*[F.when(hit, F.lit(name)) for name, hit in hits])
+    pairs = [(a, name) for name, aliases in entries.items() for a in aliases if a]
+    if not pairs:
+        return F.lit(None).cast("string")
+    names = F.array(*[F.lit(name) for _, name in pairs])
+    return F.get(names, _earliest(F.lower(_or_empty(text)), [a for a, _ in pairs]).cast("int") - 1)
 
 
 def any_of(text: Column, words: list[str]) -> Column:
@@ -93,14 +114,17 @@ def any_of(text: Column, words: list[str]) -> Column:
 
 def first_of(text: Column, words: list[str]) -> Column:
     """The first of the words, in their order, that the lower-case text has in it."""
-    return first_entry(text, {w: [w] for w in words}) if words else F.lit(None).cast("string")
+    return first_entry(text, {w: [w] for w in words})
 
 
 def brand_with_confidence(text: Column, entries: dict[str, list[str]]) -> Column:
     """``struct(brand, confidence)``: the first alias found counts by its share of the text; null and 0 without one."""
     low = F.lower(_or_empty(text))
-    found = [F.when(F.contains(low, F.lit(a)), F.struct(F.lit(name).alias("brand"), F.least(F.lit(1.0), F.lit(float(len(a))) / F.greatest(F.length(low), F.lit(1))).alias("confidence"))) for name, aliases in entries.items() for a in aliases]
-    return F.coalesce(*found, F.struct(F.lit(None).cast("string").alias("brand"), F.lit(0.0).alias("confidence")))
+    pairs = [(a, name) for name, aliases in entries.items() for a in aliases if a]
+    hits = F.array(*[F.struct(F.lit(name).alias("brand"), F.lit(float(len(a))).alias("long")) for a, name in pairs])
+    hit = F.get(hits, _earliest(low, [a for a, _ in pairs]).cast("int") - 1)
+    share = F.when(hit["long"].isNotNull(), F.least(F.lit(1.0), hit["long"] / F.greatest(F.length(low), F.lit(1))))
+    return F.struct(hit["brand"].alias("brand"), F.coalesce(share, F.lit(0.0)).alias("confidence"))
 
 
 def class_category(name: Column, entries: dict[str, list[str]]) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.vectors import sign_hash
-from millrace.operators import dedup, quality, splits
+from millrace.operators import catalogue, dedup, listings, quality, splits
 from millrace.streaming import rate_limit
 
 
@@ -42,15 +42,10 @@ v AS (SELECT *, list_filter([CASE WHEN raw = '' THEN 'missing required field ''p
   CASE WHEN brand = 'acme' THEN 'brand ''acme'' not in known brand list' WHEN brand = '' AND dis <> 'TRUE' THEN 'brand is required for non-distractor (D3) rows' END], lambda e: e IS NOT NULL) AS errors FROM r)"""
 
 
-def drop_reasons(spark, d):
-    docs, labels = _t(spark, d, "documents"), _t(spark, d, "labels")
-    j = docs.join(labels, "doc_id", "left")
-    reason = quality.first_reason(("unknown", F.col("quality").isNull()), ("junk", F.col("quality") == 0), ("toxic", F.col("toxic") == 1), ("short", F.col("n_chars") < 500), ("shouting", F.col("text").rlike("[A-Z]{4,}!!")))
-    return j.groupBy(F.coalesce(reason, F.lit("kept")).alias("reason")).agg(F.count("*").alias("n"), F.sum("n_chars").alias("chars"))
-
-
 def catalog_page(spark, d):
-    return _t(spark, d, "part").where((F.col("p_size") >= 10) & F.lower("p_name").contains("a")).select("p_partkey", "p_name", F.lit(1.0).alias("score")).orderBy("p_partkey").offset(20).limit(50)
+    products = _t(spark, d, "part").where("p_size >= 10").select(F.col("p_partkey").alias("product_id"), F.col("p_name").alias("name"), F.lit(None).cast("long").alias("category_id"))
+    found = catalogue.search(products, name="A", skip=20, limit=50)
+    return found.select(F.col("product_id").alias("p_partkey"), F.col("name").alias("p_name"), "score")
 
 
 def orphans(spark, d):
@@ -187,17 +182,15 @@ def remap(spark, d):
 def token_groups(spark, d):
     """Parts that share a rare token, two to six of them, tied to the first."""
     t = _t(spark, d, "part").select("p_partkey", F.concat("p_brand", F.lit("/"), F.col("p_size").cast("string"), F.lit("/"), (F.col("p_partkey") % 13).cast("string")).alias("token"))
-    g = t.groupBy("token").agg(F.count("*").alias("n"), F.min("p_partkey").alias("head")).where("n between 2 and 6")
-    return t.join(g, "token").where("p_partkey <> head").select(F.col("head").alias("a"), F.col("p_partkey").alias("b"))
+    return listings.shared_by_few(t, "token", "p_partkey").select(F.col("b").alias("a"), F.col("a").alias("b"))
 
 
-QUERIES = {"catalog_errors": errors, "catalog_validate": valid, "clean_drop_reasons": drop_reasons, "catalog_search_paged": catalog_page, "fk_checks": orphans, "token_semi_join": token_semi, "exact_dup_groups": copies, "dup_counts": copy_counts, "cross_source_overlap": overlap, "primary_copy": primary, "stock_flag": stock, "near_dup_pairs": near_pairs, "components": components, "generic_suppression": generic, "leader_clusters": leader_clusters, "split_ratio_pack": pack, "split_type": type_split, "split_group_holdout": group_split, "cap_side": capped, "leakage_checks": leakage, "brand_vote_mode": brand_vote, "gallery_seller": gallery_seller, "rate_limit": limited, "source_slice_report": slices, "alpha_mean_std": alpha_curve, "source_counts": source_counts, "quantiles_argmax": quantiles, "class_remap": remap, "token_groups": token_groups}
+QUERIES = {"catalog_errors": errors, "catalog_validate": valid, "catalog_search_paged": catalog_page, "fk_checks": orphans, "token_semi_join": token_semi, "exact_dup_groups": copies, "dup_counts": copy_counts, "cross_source_overlap": overlap, "primary_copy": primary, "stock_flag": stock, "near_dup_pairs": near_pairs, "components": components, "generic_suppression": generic, "leader_clusters": leader_clusters, "split_ratio_pack": pack, "split_type": type_split, "split_group_holdout": group_split, "cap_side": capped, "leakage_checks": leakage, "brand_vote_mode": brand_vote, "gallery_seller": gallery_seller, "rate_limit": limited, "source_slice_report": slices, "alpha_mean_std": alpha_curve, "source_counts": source_counts, "quantiles_argmax": quantiles, "class_remap": remap, "token_groups": token_groups}
 
 _DOC = "WITH g AS (SELECT md5(text) AS hash, count(*) AS n, string_agg(DISTINCT source, ' + ' ORDER BY source) AS sources, count(DISTINCT source) AS k, min(doc_id) AS first FROM documents GROUP BY 1)"
 ORACLE = {
     "catalog_errors": f"{_ROWS} SELECT p_partkey, array_to_string(errors, '; ') AS errors, len(errors)::INT AS n FROM v WHERE len(errors) > 0",
     "catalog_validate": f"{_ROWS} SELECT p_partkey, replace(raw, ' ', '') AS part_number, CASE brand WHEN 'Bosch GmbH' THEN 'Bosch' ELSE brand END AS brand, dis = 'TRUE' AS distractor, true AS checked FROM v WHERE len(errors) = 0",
-    "clean_drop_reasons": "WITH j AS (SELECT *, CASE WHEN quality IS NULL THEN 'unknown' WHEN quality = 0 THEN 'junk' WHEN toxic = 1 THEN 'toxic' WHEN n_chars < 500 THEN 'short' WHEN regexp_matches(text, '[A-Z]{4,}!!') THEN 'shouting' ELSE 'kept' END AS reason FROM documents LEFT JOIN labels USING (doc_id)) SELECT reason, count(*) AS n, sum(n_chars)::BIGINT AS chars FROM j GROUP BY 1",
     "catalog_search_paged": "SELECT p_partkey, p_name, 1.0::DOUBLE AS score FROM part WHERE p_size >= 10 AND contains(lower(p_name), 'a') ORDER BY p_partkey LIMIT 50 OFFSET 20",
     "fk_checks": "SELECT 'lineitem' AS child, count(*) AS n FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderkey % 10 <> 0) UNION ALL SELECT 'orders', count(*) FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 5 <> 0)",
     "token_semi_join": "WITH m AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]{9,}')) AS token FROM benchmark), t AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]{9,}')) AS token FROM documents) SELECT doc_id, count(*) AS shared FROM t WHERE token IN (SELECT token FROM m) GROUP BY 1",
@@ -206,6 +199,10 @@ ORACLE = {
     "cross_source_overlap": f"{_DOC} SELECT sources, count(*) AS groups FROM g WHERE k > 1 GROUP BY 1",
     "primary_copy": f"{_DOC} SELECT d.doc_id = g.first AS is_primary, count(*) AS n, sum(d.doc_id)::BIGINT AS ids FROM documents d JOIN g ON md5(d.text) = g.hash GROUP BY 1",
     "stock_flag": f"{_DOC} SELECT doc_id, g.k > 1 AS stock FROM documents d JOIN g ON md5(d.text) = g.hash",
+    "leader_clusters": f"""{_HASH.replace('WITH ', 'WITH RECURSIVE ')}, o AS (SELECT label, vec_id, h, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS r FROM h),
+f(label, vec_id, r, hs, ids, leader) AS (SELECT label, vec_id, r, [h], [vec_id], vec_id FROM o WHERE r = 1
+UNION ALL SELECT label, vec_id, r, CASE WHEN near IS NULL THEN list_append(hs, h) ELSE hs END, CASE WHEN near IS NULL THEN list_append(ids, vec_id) ELSE ids END, coalesce(ids[near], vec_id) FROM (SELECT o.label, o.vec_id, o.r, o.h, f.hs, f.ids, list_filter(range(1, len(f.hs) + 1), lambda i: bit_count(xor(f.hs[i], o.h)) <= 22)[1] AS near FROM f JOIN o ON o.label = f.label AND o.r = f.r + 1))
+SELECT label, vec_id, leader FROM f""",
     "near_dup_pairs": f"{_HASH}, {_PAIRS.format(t=18)} SELECT a, b, distance FROM p",
     "components": f"{_HASH}, {_PAIRS.format(t=20)}, r AS (WITH RECURSIVE c(id, low) AS (SELECT vec_id, vec_id FROM h UNION SELECT e.y, c.low FROM c JOIN (SELECT a AS x, b AS y FROM p UNION ALL SELECT b, a FROM p) e ON e.x = c.id AND c.low < e.y) SELECT * FROM c) SELECT id, min(low) AS \"group\" FROM r GROUP BY id",
     "generic_suppression": f"{_HASH}, {_PAIRS.format(t=20)}, q AS (SELECT * FROM p WHERE a % 10 <> b % 10), o AS (SELECT a AS id, b % 10 AS other FROM q UNION ALL SELECT b, a % 10 FROM q), x AS (SELECT id FROM o GROUP BY id HAVING count(DISTINCT other) > 2) SELECT a, b, distance FROM q WHERE a NOT IN (SELECT id FROM x) AND b NOT IN (SELECT id FROM x)",
