@@ -32,7 +32,11 @@ def groups(texts: pa.Array, size: int) -> Iterator[tuple[int, list[str]]]:
 
 
 def map_texts(docs: DataFrame, make: Callable[[], Callable[[list[str]], dict]], schema: str, size: int = 4_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows ``(doc_id, *schema)``: ``make()`` is called once a task and gives a function of a group of texts to columns."""
+    """Rows ``(doc_id, *schema)``: ``make()`` is called once a task and gives a function of a group of texts to columns.
+
+    Spark bounds Arrow batches by bytes (64 MB unless set otherwise), and groups are bounded here, so a task's memory doesn't
+    follow the length of the texts but for a single very long one.
+    """
     struct = StructType.fromDDL(f"doc_id long, {schema}")
     arrow = to_arrow_schema(struct)
 

@@ -61,6 +61,19 @@ def test_repeated_and_odd_rows(spark, sf):
             assert all(r.text for r in out)
 
 
+def test_first_stage_with_odd_rows(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    select = dict(corpus_pipeline.STAGES)["quality classifier"]
+    odd = [(None, None, None, None, None), (10**6, None, "en", "s", 0), (10**6 + 1, "", None, "s", 0), (10**6 + 2, " \n", "en", None, 2)]
+    twice = docs.unionByName(docs).unionByName(spark.createDataFrame(odd, docs.schema))
+    once, both = (Counter((r.doc_id, r.text) for r in select(spark, d, sf).collect()) for d in (docs, twice))
+    # Repeated rows don't change the model and stay as often as they are; rows without words go, whatever else they hold.
+    assert both == {k: 2 * n for k, n in once.items()} and once
+    extra = select(spark, docs.withColumn("kept", docs["n_chars"]).withColumn("p_good", docs["n_chars"]), sf)
+    assert {r.doc_id for r in extra.collect()} == {i for i, _ in once} and extra.columns == [*docs.columns, "kept", "p_good"]
+    assert select(spark, docs.limit(0), sf).collect() == []
+
+
 def test_near_copies_from_80_percent(spark, sf):
     words = [f"w{k}" for k in range(104)]
     # The second text of each pair holds 90, 82 and 79 of the first one's 100 shingles.
