@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -20,10 +21,14 @@ BLOCK, STEP = 8_192, 2_048
 
 
 def _unit(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
-    """Rows of a list column as unit vectors; null and zero vectors as zeros. Rows have one length."""
-    rows = [[] if x is None else x for x in column.to_pylist()]
-    dim = max(map(len, rows), default=0)
-    v = np.array([x if len(x) == dim else [0.0] * dim for x in rows], dtype=np.float64).reshape(len(rows), dim)
+    """Rows of a list column as unit vectors; null and zero vectors, and those of another length than the longest, as zeros."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    long = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
+    dim = int(long.max(initial=0))
+    whole = long == dim
+    v = np.zeros((len(column), dim))
+    flat = column.filter(pa.array(whole)) if not whole.all() else column
+    v[whole] = flat.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
     n = np.sqrt((v * v).sum(axis=1))[:, None]
     return np.divide(v, n, out=np.zeros_like(v), where=n > 0)
 

@@ -111,3 +111,15 @@ def test_splits(spark):
     n = splits.split_ranks(spark.range(25), "id").groupBy("split").count().collect()
     assert {r.split: r["count"] for r in n} == {"train": 20, "valid": 2, "test": 3}
     assert sorted(r["rank"] for r in splits.shuffled_rank(spark.range(500), "id", 3).collect()) == list(range(1, 501))
+
+
+def test_points_of_a_stream(spark, tmp_path):
+    from millrace.streaming import ingest
+
+    src, index = str(tmp_path / "in"), str(tmp_path / "index")
+    for k in range(2):
+        spark.createDataFrame([(k, [1.0, 0.0], {"category": "c"})], "product_id long, embedding array<float>, payload map<string,string>").write.mode("append").json(src)
+        points = spark.readStream.schema("product_id long, embedding array<float>, payload map<string,string>").json(src)
+        ingest.index_stream(points, index, str(tmp_path / "checkpoint"))
+        found = spark.read.parquet(index)
+        assert sorted(r.product_id for r in found.collect()) == list(range(k + 1)) and found.select("point_id").distinct().count() == k + 1
