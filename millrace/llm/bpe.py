@@ -32,7 +32,7 @@ from millrace.storage import shared_dir, written
 #: The pattern that splits text before the merges.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Words of the lexicon at most, bytes of a word of it, entries of a worker's memo, and words counted before they are passed on.
-LEXICON_WORDS, LEXICON_BYTES, MEMO, COUNTED = 32_768, 48, 600_000, 400_000
+LEXICON_WORDS, LEXICON_BYTES, MEMO, COUNTED = 32_768, 48, 400_000, 400_000
 #: Classes of frequency for each doubling.
 FREQUENCY_CLASSES = 64
 #: The rank of a pair that never merges.
