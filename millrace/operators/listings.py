@@ -98,6 +98,7 @@ def clean(catalog: DataFrame, gallery: DataFrame, queries: DataFrame, checked: D
         checked = spark.createDataFrame([], "mpn string, mark string")
     marks = checked.where(F.col("mark").isin(BAD_MARKS)).groupBy(X.letters_digits(F.col("mpn")).alias("own")).agg(F.max("mark").alias("mark"))
     c = c.join(marks, "own", "left").join(other_number(c, ["part_id"], "title", "own", numbers), "part_id", "left")
+    # The names of the reasons, here and below.
     reason = F.coalesce(
         F.when(F.col("brand") == "unknown", "unknown_brand"), F.when(F.col("mark").isNotNull(), F.concat(F.lit("hand_check_"), "mark")), F.when(X.junk_number(F.col("own")), "junk_mpn"),
         F.when(F.col("other").isNotNull(), F.concat(F.lit("gallery_title_names_"), "other")), F.when(F.col("label").isNull(), F.concat(F.lit("unmapped_category:"), "leaf")),
@@ -160,6 +161,7 @@ def near_unknowns(items: DataFrame, images: DataFrame, catalog: DataFrame, per_c
     counts = it.join(shown.groupBy("item_id").agg(F.count("*").alias("n_images")), "item_id", "left").withColumn("n_images", F.coalesce("n_images", F.lit(0)))
     best = F.min(F.struct((-F.col("n_images")).alias("n"), "seq", "item_id", "brand", "title", "label", "url")).alias("b")
     numbers = counts.groupBy("number").agg(best, F.count("*").alias("n_listings")).join(listed, "number", "left").join(same, "number", "left")
+    # The names of the reasons.
     why = F.when(F.col("listed"), "in_catalogue").when(F.col("same"), "same_product_as_catalogue").when(F.col("b.n") == 0, "no_images")
     numbers = written(numbers.withColumn("why", why).select("number", "n_listings", "why", "b.item_id", "b.brand", "b.title", "b.label", "b.url"), "unknowns")
     chosen = splits.sample_each(numbers.where("why is null"), "label", "number", per_category, seed)
@@ -204,6 +206,7 @@ def equivalences(names: DataFrame, name: str = "name") -> DataFrame:
 def project_rows(images: DataFrame, site: str, collected_by: str, base_url: str) -> DataFrame:
     """A catalogue row for each part of each project; images: project, part, path. Folders of one name are one part."""
     by = images.groupBy("project", "part").agg(F.count("*").alias("n"))
+    # The words of the note.
     note = F.concat(F.lit("auto-imported from "), "project", F.lit(", "), F.col("n").cast("string"), F.lit(" image(s), is_distractor candidate -- verify part number before indexing"), motorcycle_note(F.col("part")))
     return by.select(F.col("part").alias("part_number_raw"), F.lit("").alias("brand"), F.lit("").alias("category"), F.concat("project", F.lit(" part "), "part").alias("name"), F.lit("").alias("oem_number"), F.concat(F.lit(base_url.rstrip("/") + "/"), "project").alias("source_url"), F.lit(site).alias("source_site"), F.lit(collected_by).alias("collected_by"), note.alias("notes"))
 
@@ -212,9 +215,11 @@ def motorcycle_note(part: Column) -> Column:
     return F.when(part.rlike(MOTORCYCLE), MOTORCYCLE_NOTE).otherwise("")
 
 
-#: Keys under which a stream's items have their manufacturer's number, in order, and sizes of a picture.
+#: Keys under which a stream's items have their manufacturer's number, in order, sizes of a picture, and what is
+#: said of a number's evidence.
 NUMBER_KEYS = ["Manufacturer Part Number", "manufacturer_part_number", "mpn", "MPN", "Part Number"]
 PICTURE_KEYS = ["hi_res", "large", "thumb"]
+REAL_NUMBER, OWN_ID = "has_real_mpn", "asin_only_no_verified_part_number"
 
 
 def stream_items(items: DataFrame, n: int, numbered_only: bool = False) -> DataFrame:
@@ -227,4 +232,4 @@ def stream_items(items: DataFrame, n: int, numbered_only: bool = False) -> DataF
     out = items.withColumns({"mpn": number, "image_url": F.get(urls, F.lit(0))}).where("image_url is not null")
     out = out.where("mpn != ''") if numbered_only else out
     raw = F.coalesce(F.nullif("mpn", F.lit("")), "id")
-    return out.limit(n).select(raw.alias("part_number_raw"), X.stripped(F.col("store")).alias("brand"), F.substring(X.stripped(F.col("title")), 1, 120).alias("name"), F.when(F.col("mpn") != "", "has_real_mpn").otherwise("asin_only_no_verified_part_number").alias("evidence"), "image_url", X.slug(raw).alias("slug"))
+    return out.limit(n).select(raw.alias("part_number_raw"), X.stripped(F.col("store")).alias("brand"), F.substring(X.stripped(F.col("title")), 1, 120).alias("name"), F.when(F.col("mpn") != "", REAL_NUMBER).otherwise(OWN_ID).alias("evidence"), "image_url", X.slug(raw).alias("slug"))

@@ -33,23 +33,25 @@ def _unit(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return np.divide(v, n, out=np.zeros_like(v), where=n > 0)
 
 
-def _query_blocks(queries: DataFrame) -> Iterator[pa.Table]:
-    """Queries (query_id, query) in blocks of bounded size; each block is all that reaches the driver at a time."""
-    n = queries.count()
-    blocks = -(-n // BLOCK) if n else 0
+def _query_blocks(queries: DataFrame) -> Iterator[tuple[pa.Table, bool]]:
+    """Queries (query_id, query) in blocks of bounded size, and whether there are several: one at a time reaches the driver."""
+    mine = queries.select("query_id", "query")
+    some = mine.limit(BLOCK + 1).toArrow()
+    if some.num_rows <= BLOCK:
+        if some.num_rows:
+            yield some, False
+        return
+    # Blocks by a hash, so a little over half full on the mean: none exceeds what a task can hold.
+    blocks = -(-2 * queries.count() // BLOCK)
     for k in range(blocks):
-        mine = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == k)
-        yield mine.select("query_id", "query").toArrow()
+        yield mine.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == k).toArrow(), True
 
 
 def _each_block(queries: DataFrame, run, empty: DataFrame) -> DataFrame:
     """``run(block)`` for every block of queries; several are written one by one, so that no more than one is held."""
     out = None
-    blocks = list(_query_blocks(queries)) if queries.count() <= BLOCK else _query_blocks(queries)
-    many = not isinstance(blocks, list)
-    for block in blocks:
-        found = run(block)
-        found = written(found, "hits") if many else found
+    for block, several in _query_blocks(queries):
+        found = written(run(block), "hits") if several else run(block)
         out = found if out is None else out.unionByName(found)
     return empty if out is None else out
 
