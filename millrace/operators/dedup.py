@@ -139,6 +139,12 @@ def near_pairs_checked(rows: DataFrame, id_col: str, hash_col: str, content_col:
     return both.where(mean_absolute_difference(F.col("__a"), F.col("__b")) <= tolerance).select("a", "b", "distance")
 
 
+def shown_by_several(rows: DataFrame, cluster: str, by: str, out: str) -> DataFrame:
+    """`rows` with whether their cluster is seen under more than one value of `by`, anywhere."""
+    several = rows.groupBy(cluster).agg(F.countDistinct(by).alias("__n")).where("__n > 1").select(cluster, F.lit(True).alias(out))
+    return rows.join(several, cluster, "left").withColumn(out, F.coalesce(out, F.lit(False)))
+
+
 def primary(rows: DataFrame, by: str, order: list[str]) -> DataFrame:
     """`rows` with ``is_primary``: the first of those with the same value."""
     return rows.withColumn("is_primary", F.row_number().over(Window.partitionBy(by).orderBy(*order)) == 1)

@@ -34,6 +34,13 @@ def part_keys(items: DataFrame, long_number: int | None = None) -> DataFrame:
     return some.withColumn("part_id", F.concat("brand", F.lit("::"), "mpn"))
 
 
+def gallery_sellers(rows: DataFrame, seed: int) -> DataFrame:
+    """``(part_id, n_sellers, gallery_seller, n)``: of each part's sellers the one with most images, ties in shuffled order."""
+    per = rows.groupBy("part_id", "seller").agg(F.count("*").alias("n"))
+    best = F.min(F.struct((-F.col("n")).alias("n"), splits.shuffle_key(seed, "seller").alias("k"), "seller"))
+    return per.groupBy("part_id").agg(F.count("*").alias("n_sellers"), best.alias("b")).select("part_id", "n_sellers", F.col("b.seller").alias("gallery_seller"), (-F.col("b.n")).alias("n"))
+
+
 def build(items: DataFrame, images: DataFrame, min_sellers: int = 2, dup_dist: int = 6, least_side: int = 200, long_number: int | None = None, seed: int = 42) -> tuple[DataFrame, DataFrame, DataFrame]:
     """``(catalog, gallery, queries)`` from listings.
 
@@ -50,12 +57,8 @@ def build(items: DataFrame, images: DataFrame, min_sellers: int = 2, dup_dist: i
     hashes = rows.select(F.col("phash").alias("id"), F.col("phash").alias("h")).distinct()
     near = written(dedup.near_pairs(hashes, "id", "h", dup_dist).select("a", "b"), "listing-pairs")
     clusters = dedup.groups(hashes, "id", near).select(F.col("id").alias("phash"), F.col("group").alias("cluster"))
-    shown = rows.join(clusters, "phash")
-    stock = shown.groupBy("cluster").agg(F.countDistinct("seller").alias("n")).where("n > 1").select("cluster", F.lit(True).alias("stock"))
-    rows = written(shown.join(stock, "cluster", "left").withColumn("stock", F.coalesce("stock", F.lit(False))).drop("cluster"), "listing-rows")
-    per = rows.groupBy("part_id", "seller").agg(F.count("*").alias("n"))
-    best = F.min(F.struct((-F.col("n")).alias("n"), splits.shuffle_key(seed, "seller").alias("k"), "seller"))
-    chosen = per.groupBy("part_id").agg(F.count("*").alias("n_sellers"), best["seller"].alias("gallery_seller")).where(F.col("n_sellers") >= min_sellers)
+    rows = written(dedup.shown_by_several(rows.join(clusters, "phash"), "cluster", "seller", "stock").drop("cluster"), "listing-rows")
+    chosen = gallery_sellers(rows, seed).where(F.col("n_sellers") >= min_sellers).drop("n")
     rows = rows.join(chosen, "part_id")
     gallery = rows.where("seller = gallery_seller")
     others = rows.where("seller != gallery_seller and not stock")

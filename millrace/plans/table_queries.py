@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions.vectors import sign_hash
-from millrace.operators import catalogue, dedup, listings, quality, splits
+from millrace.operators import catalogue, dedup, listings, quality, reports, splits
 from millrace.streaming import rate_limit
 
 
@@ -87,8 +87,7 @@ def primary(spark, d):
 
 
 def stock(spark, d):
-    n = _hashed(spark, d).groupBy("hash").agg(F.countDistinct("source").alias("sellers"))
-    return _hashed(spark, d).join(n, "hash").select("doc_id", (F.col("sellers") > 1).alias("stock"))
+    return dedup.shown_by_several(_hashed(spark, d), "hash", "source", "stock").select("doc_id", "stock")
 
 
 def _signs(spark, d):
@@ -146,9 +145,8 @@ def brand_vote(spark, d):
 
 
 def gallery_seller(spark, d):
-    n = _t(spark, d, "lineitem").groupBy("l_partkey", "l_suppkey").agg(F.count("*").alias("n"))
-    w = Window.partitionBy("l_partkey").orderBy(F.desc("n"), splits.shuffle_key(3, "l_suppkey"), "l_suppkey")
-    return n.withColumn("r", F.row_number().over(w)).where("r = 1").drop("r")
+    rows = _t(spark, d, "lineitem").select(F.col("l_partkey").alias("part_id"), F.col("l_suppkey").alias("seller"))
+    return listings.gallery_sellers(rows, 3).select(F.col("part_id").alias("l_partkey"), F.col("gallery_seller").alias("l_suppkey"), "n")
 
 
 def limited(spark, d):
@@ -157,20 +155,21 @@ def limited(spark, d):
 
 def slices(spark, d):
     j = _t(spark, d, "documents").join(_t(spark, d, "labels"), "doc_id")
-    return j.rollup("source").agg(F.count("*").alias("n"), F.round(F.avg(F.col("quality").cast("double")), 6).alias("quality"), F.round(F.avg(F.col("toxic").cast("double")), 6).alias("toxic"))
+    return reports.slices(j, "source", ["quality", "toxic"]).withColumns({c: F.round(c, 6) for c in ("quality", "toxic")})
 
 
 def alpha_curve(spark, d):
-    return _t(spark, d, "lineitem").groupBy("l_discount").agg(F.round(F.avg("l_quantity"), 6).alias("mean"), F.round(F.stddev_samp("l_quantity"), 5).alias("sd"), F.count("*").alias("n"))
+    return reports.mean_std(_t(spark, d, "lineitem"), "l_discount", "l_quantity").withColumns({"mean": F.round("mean", 6), "sd": F.round("sd", 5)})
 
 
 def source_counts(spark, d):
-    x = _t(spark, d, "documents")
-    return x.groupBy("source", "lang").agg(F.count("*").alias("n"), F.count_if(F.col("n_chars") < 400).alias("undersized"), F.min("n_chars").alias("least"), F.max("n_chars").alias("most"))
+    return reports.counts(_t(spark, d, "documents"), ["source", "lang"], {"undersized": F.col("n_chars") < 400}, {"n_chars": ("least", "most")})
 
 
 def quantiles(spark, d):
-    return _t(spark, d, "orders").groupBy("o_orderpriority").agg(F.round(F.percentile("o_totalprice", F.lit(0.025)), 4).alias("low"), F.round(F.percentile("o_totalprice", F.lit(0.975)), 4).alias("high"), F.max_by("o_orderkey", F.struct("o_totalprice", "o_orderkey")).alias("dearest"))
+    orders = _t(spark, d, "orders")
+    ends = reports.interval(orders, "o_orderpriority", "o_totalprice").withColumns({c: F.round(c, 4) for c in ("low", "high")})
+    return reports.together(ends, "o_orderpriority", reports.best_of(orders, "o_orderpriority", "o_orderkey", "o_totalprice", "o_orderkey", name="dearest"))
 
 
 def remap(spark, d):
