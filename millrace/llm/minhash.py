@@ -39,8 +39,10 @@ SLACK = 5.0
 FILTER_BITS = 25
 #: Classes of a block of a large family at most, and its shingles; a task holds two blocks. Signatures of a task's buckets.
 BLOCK, BLOCK_SHINGLES, TASK_SIGNATURES = 1024, 2**19, 16_384
+#: Hashes computed at a time.
+TILE = 32_768
 #: Words whose hash a worker remembers.
-MEMO = 400_000
+MEMO = 200_000
 
 _MULTIPLY = np.array([int.from_bytes(xxhash.xxh3_128_digest(f"minhash {k}".encode())[:8], "little") | 1 for k in range(MINIMA)], dtype=np.uint64)
 _STEP = [np.uint64(int.from_bytes(xxhash.xxh3_128_digest(f"shingle {k}".encode())[:8], "little") | 1) for k in range(WORDS)]
@@ -102,9 +104,14 @@ def _name(shingles: np.ndarray) -> list[int]:
 def signature(shingles: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> tuple[np.ndarray, np.ndarray]:
     """Band keys and packed low bits of a non-empty set's minima."""
     minima = np.full(len(_MULTIPLY), np.iinfo(np.uint64).max, dtype=np.uint64)
-    for at in range(0, len(shingles), 1024):
-        x = shingles[at : at + 1024][None, :] * _MULTIPLY[:, None]
-        np.minimum(minima, (x ^ (x >> np.uint64(32))).min(axis=1), out=minima)
+    for at in range(0, len(shingles), 512):
+        part = shingles[None, at : at + 512]
+        # Tiles that stay in a processor's cache.
+        step = max(16, TILE // part.shape[1])
+        for k in range(0, MINIMA, step):
+            x = part * _MULTIPLY[k : k + step, None]
+            x ^= x >> np.uint64(32)
+            np.minimum(minima[k : k + step], x.min(axis=1), out=minima[k : k + step])
     minima = _mixed(minima)
     raw = minima[: bands * rows].tobytes()
     keys = np.array([xxhash.xxh3_64_intdigest(raw[8 * rows * k : 8 * rows * (k + 1)], seed=k) for k in range(bands)], dtype=np.uint64)
