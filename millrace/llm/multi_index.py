@@ -30,7 +30,7 @@ CELL_ROWS = 16
 #: Audited queries at most, and the share of their neighbours that the visited cells must hold.
 AUDITED, WANTED = 96, 0.97
 #: Vectors of a shard of entries at most, and shards at least.
-SHARD_ROWS, LEAST_SHARDS = 262_144, 6
+SHARD_ROWS, LEAST_SHARDS = 262_144, 3
 
 
 def centroids(n: int) -> int:
@@ -150,7 +150,7 @@ def _visits(queries: DataFrame, books: dict, counts: dict, enough: dict[int, int
                 cells.append(traverse(one @ a, two @ b, counts[len(q)], enough[len(q)]))
             yield pdf.assign(cells=cells)
 
-    return queries.mapInPandas(run, "row long, id long, v array<double>, dim int, cells array<long>")
+    return queries.mapInPandas(run, "row long, id long, v array<double>, dim int, cells array<int>")
 
 
 def _ask(k: int):
