@@ -98,13 +98,27 @@ def _earliest(low: Column, words: list[str]) -> Column:
     return F.array_min(F.transform(found, lambda w: F.array_position(order, w)))
 
 
+def _needed(entries: dict[str, list[str]]) -> list[tuple[str, str]]:
+    """Aliases with their entries, in order, but for those that hold an earlier one: where they are, that is."""
+    out: list[tuple[str, str]] = []
+    for name, aliases in entries.items():
+        out += [(a, name) for a in aliases if a and not any(b in a for b, _ in out) and not any(b in a for b in aliases[: aliases.index(a)] if b)]
+    return out
+
+
+#: Characters from which a text is searched for one word after the other, which is quicker than one look at each place.
+LONG_TEXT = 256
+
+
 def first_entry(text: Column, entries: dict[str, list[str]]) -> Column:
     """Name of the first entry that has an alias in the lower-case text."""
-    pairs = [(a, name) for name, aliases in entries.items() for a in aliases if a]
+    pairs = _needed(entries)
     if not pairs:
         return F.lit(None).cast("string")
-    names = F.array(*[F.lit(name) for _, name in pairs])
-    return F.get(names, _earliest(F.lower(_or_empty(text)), [a for a, _ in pairs]).cast("int") - 1)
+    low = F.lower(_or_empty(text))
+    one_by_one = F.coalesce(*[F.when(F.contains(low, F.lit(a)), F.lit(name)) for a, name in pairs])
+    at_once = F.get(F.array(*[F.lit(name) for _, name in pairs]), _earliest(low, [a for a, _ in pairs]).cast("int") - 1)
+    return F.when(F.length(low) >= LONG_TEXT, one_by_one).otherwise(at_once)
 
 
 def any_of(text: Column, words: list[str]) -> Column:
@@ -120,7 +134,7 @@ def first_of(text: Column, words: list[str]) -> Column:
 def brand_with_confidence(text: Column, entries: dict[str, list[str]]) -> Column:
     """``struct(brand, confidence)``: the first alias found counts by its share of the text; null and 0 without one."""
     low = F.lower(_or_empty(text))
-    pairs = [(a, name) for name, aliases in entries.items() for a in aliases if a]
+    pairs = _needed(entries)
     hits = F.array(*[F.struct(F.lit(name).alias("brand"), F.lit(float(len(a))).alias("long")) for a, name in pairs])
     hit = F.get(hits, _earliest(low, [a for a, _ in pairs]).cast("int") - 1)
     share = F.when(hit["long"].isNotNull(), F.least(F.lit(1.0), hit["long"] / F.greatest(F.length(low), F.lit(1))))
