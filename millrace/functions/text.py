@@ -106,19 +106,16 @@ def _needed(entries: dict[str, list[str]]) -> list[tuple[str, str]]:
     return out
 
 
-#: Characters from which a text is searched for one word after the other, which is quicker than one look at each place.
-LONG_TEXT = 256
-
-
-def first_entry(text: Column, entries: dict[str, list[str]]) -> Column:
-    """Name of the first entry that has an alias in the lower-case text."""
+def first_entry(text: Column, entries: dict[str, list[str]], long: bool = False) -> Column:
+    """Name of the first entry that has an alias in the lower-case text. `long` texts are searched for one alias after the
+    other, which is quicker than a look at each place; the answer is the same."""
     pairs = _needed(entries)
     if not pairs:
         return F.lit(None).cast("string")
     low = F.lower(_or_empty(text))
-    one_by_one = F.coalesce(*[F.when(F.contains(low, F.lit(a)), F.lit(name)) for a, name in pairs])
-    at_once = F.get(F.array(*[F.lit(name) for _, name in pairs]), _earliest(low, [a for a, _ in pairs]).cast("int") - 1)
-    return F.when(F.length(low) >= LONG_TEXT, one_by_one).otherwise(at_once)
+    if long:
+        return F.coalesce(*[F.when(F.contains(low, F.lit(a)), F.lit(name)) for a, name in pairs])
+    return F.get(F.array(*[F.lit(name) for _, name in pairs]), _earliest(low, [a for a, _ in pairs]).cast("int") - 1)
 
 
 def any_of(text: Column, words: list[str]) -> Column:

@@ -72,7 +72,7 @@ def _brands_sql() -> str:
 
 
 def document_brands(spark, d):
-    brand = X.first_entry(F.col("text"), D.BRANDS)
+    brand = X.first_entry(F.col("text"), D.BRANDS, long=True)
     return spark.read.parquet(f"{d}/documents.parquet").groupBy(F.coalesce(brand, F.lit("none")).alias("brand")).agg(F.count("*").alias("n"))
 
 
