@@ -53,7 +53,7 @@ def centre_crop(width: Column, height: Column, fraction: float = 0.7) -> Column:
     return F.struct(left.alias("left"), top.alias("top"), (width - left).alias("right"), (height - top).alias("bottom"))
 
 
-def box_crop(width: Column, height: Column, x1: Column, y1: Column, x2: Column, y2: Column, padding: float) -> Column:
+def box_crop(width: Column, height: Column, x1: Column, y1: Column, x2: Column, y2: Column, padding: float | Column) -> Column:
     """The padded square around a box, clipped at the image, and the side it is letterboxed to."""
     bw, bh = x2 - x1, y2 - y1
     side = F.greatest(bw + 2 * F.floor(bw * padding), bh + 2 * F.floor(bh * padding))
@@ -64,14 +64,12 @@ def box_crop(width: Column, height: Column, x1: Column, y1: Column, x2: Column,
 def query_region(region: Column, width: Column, height: Column, box: Column) -> Column:
     """``struct(left, top, right, bottom, detected)`` of a query's picture that a region is; box: array of x1, y1, x2, y2 or null,
     and then crops are the whole picture."""
-    whole = F.struct(F.lit(0.0).alias("left"), F.lit(0.0).alias("top"), width.cast("double").alias("right"), height.cast("double").alias("bottom"))
-    centre, out = centre_crop(width, height), F.when(region == "full_image", whole)
-    out = out.when(region == "centre_70", F.struct(*[centre[c].cast("double").alias(c) for c in ("left", "top", "right", "bottom")]))
-    for name, padding in CROP_PADDING.items():
-        crop = box_crop(width, height, box[0], box[1], box[2], box[3], padding)
-        out = out.when((region == name) & box.isNotNull(), F.struct(*[crop[c].cast("double").alias(c) for c in ("left", "top", "right", "bottom")]))
-    out = out.otherwise(whole)
-    return F.struct(*[out[c].alias(c) for c in ("left", "top", "right", "bottom")], (region.isin(*CROP_PADDING) & box.isNotNull()).alias("detected"))
+    padding = F.coalesce(*[F.when(region == name, F.lit(x)) for name, x in CROP_PADDING.items()])
+    cropped = padding.isNotNull() & box.isNotNull()
+    centre, crop = centre_crop(width, height), box_crop(width, height, box[0], box[1], box[2], box[3], padding)
+    whole = {"left": F.lit(0.0), "top": F.lit(0.0), "right": width.cast("double"), "bottom": height.cast("double")}
+    side = lambda c: F.when(region == "centre_70", centre[c].cast("double")).when(cropped, crop[c].cast("double")).otherwise(whole[c])
+    return F.struct(*[side(c).alias(c) for c in whole], F.coalesce(cropped, F.lit(False)).alias("detected"))
 
 
 def analysis_flags(brightness: Column, contrast: Column, noise: Column) -> Column:
