@@ -24,6 +24,20 @@ def matrix(column) -> np.ndarray:
     return np.array([np.asarray(x, dtype=np.float64) for x in column]) if len(column) else np.zeros((0, 0))
 
 
+def unit(v: np.ndarray) -> np.ndarray:
+    """Rows of length one, scaled by their largest component first, so that squares neither overflow nor vanish."""
+    v = v / np.abs(v).max(axis=1, keepdims=True)
+    v /= np.linalg.norm(v, axis=1)[:, None]
+    return v
+
+
+def narrow(v: np.ndarray) -> np.ndarray:
+    """`v` in single precision, if that holds every number as it is."""
+    with np.errstate(over="ignore"):
+        short = v.astype(np.float32)
+    return short if np.array_equal(short, v) else v
+
+
 def pack(**arrays: np.ndarray) -> bytes:
     out = io.BytesIO()
     np.savez(out, **arrays)
