@@ -1,8 +1,9 @@
 """Nearest vectors by an inverted multi-index.
 
 Two codebooks, one for each half of the vectors, are fitted to a bounded sample; their sizes follow the table's, so that
-cells hold about as many vectors at any size. Every vector falls into the cell of its two centroids. A query visits cells in falling order of the two inner products' sum, which a heap yields pair by pair, until the
-cells hold enough vectors, and the visited entries are ranked again by exact inner product. How many are enough is measured:
+cells hold about as many vectors at any size. Every vector falls into the cell of its two centroids. A query visits cells in falling order of the two inner products' sum, which a heap yields pair by pair (or a sort, if
+it visits many), until the cells hold enough vectors, and the visited entries are ranked again by exact inner product. The sum
+of the last cell stands for all that are visited: that number travels with a query, not the cells. How many are enough is measured:
 the exact neighbours of some audited queries are found by brute force, and the reach is set to where their cells stand.
 """
 
@@ -18,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.llm.sampling import bounded
-from millrace.llm.vectors import BLOCK_ROWS, matrix, pack, probe, unpack, usable
+from millrace.llm.vectors import BLOCK_ROWS, matrix, narrow, pack, probe, unpack, usable
 from millrace.storage import written
 
 #: Neighbours of a query, every how many-th id is a query.
@@ -29,8 +30,10 @@ LEAST_CENTROIDS, CENTROIDS, SAMPLE, ROUNDS = 8, 1_024, 64, 12
 CELL_ROWS = 16
 #: Audited queries at most, and the share of their neighbours that the visited cells must hold.
 AUDITED, WANTED = 96, 0.97
-#: Vectors of a shard of entries at most, and shards at least.
-SHARD_ROWS, LEAST_SHARDS = 262_144, 3
+#: Vectors of a shard of entries, about, and shards at least; queries whose cells are ranked together.
+SHARD_ROWS, LEAST_SHARDS, GROUP = 65_536, 3, 32
+#: One in how many entries a query must visit for its cells to be sorted at once.
+SORTED = 16
 
 
 def centroids(n: int) -> int:
@@ -84,13 +87,26 @@ def traverse(first: np.ndarray, second: np.ndarray, many: np.ndarray, enough: in
     return out
 
 
-def _top(scores: np.ndarray, ids: np.ndarray, v: np.ndarray, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The k best of the entries by exact inner product, ties to smaller ids: their places. scores: the products up to rounding."""
-    at = np.arange(len(ids))
-    if len(ids) > k:
+def last_sum(first: np.ndarray, second: np.ndarray, many: np.ndarray, enough: int) -> float:
+    """``first[i] + second[j]`` of the last cell that `traverse` visits; below all if it visits every cell."""
+    total = int(many.sum())
+    if enough >= total:
+        return -math.inf
+    if enough * SORTED < total:
+        i, j = divmod(traverse(first, second, many, enough)[-1], len(second))
+        return float(first[i] + second[j])
+    cells = np.flatnonzero(many)
+    sums = first[cells // len(second)] + second[cells % len(second)]
+    order = np.argsort(-sums)
+    return float(sums[order[np.searchsorted(np.cumsum(many[cells][order]), enough)]])
+
+
+def _top(scores: np.ndarray, at: np.ndarray, ids: np.ndarray, v: np.ndarray, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k best of the entries `at` by exact inner product, ties to smaller ids. scores: their products up to rounding."""
+    if len(at) > k:
         # All that could be among the best, whatever the rounding.
         least = np.partition(scores, len(scores) - k)[len(scores) - k]
-        at = np.flatnonzero(scores >= least - 1e-9 * max(1.0, abs(float(least))))
+        at = at[scores >= least - 1e-9 * max(1.0, abs(float(least)))]
     exact = (v[at] * q).sum(axis=1)
     order = np.lexsort((ids[at], -exact))[:k]
     return at[order], exact[order]
@@ -130,44 +146,51 @@ def _entries(books: dict[int, tuple[np.ndarray, np.ndarray]]):
         row, ids = pdf["row"].to_numpy(np.int64), pdf["id"].to_numpy(np.int64)
         order = np.lexsort((row, ids, cell))
         cells, start, many = np.unique(cell[order], return_index=True, return_counts=True)
-        blob = pack(v=v[order], ids=ids[order], rows=row[order], cells=cells, first=np.append(start, len(v)))
+        blob = pack(v=narrow(v[order]), ids=ids[order], rows=row[order], cells=cells, first=np.append(start, len(v)))
         return pd.DataFrame({"dim": [dim], "shard": [int(pdf["shard"].iloc[0])], "blob": [blob], "cells": [cells.astype(np.int64)], "many": [many.astype(np.int64)]})
 
     return build
 
 
 def _visits(queries: DataFrame, books: dict, counts: dict, enough: dict[int, int]) -> DataFrame:
-    """`queries` with the ``cells`` that each visits, found once for all shards."""
+    """`queries` with ``least``, the sum of the last cell that each visits, found once for all shards."""
     sent = queries.sparkSession.sparkContext.broadcast((books, counts, enough))  # at most CENTROIDS ** 2 counts a dimension
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         books, counts, enough = sent.value
         for pdf in batches:
-            cells = []
+            least = []
             for q in pdf["v"]:
                 q = np.asarray(q, dtype=np.float64)
                 (a, b), (one, two) = _halves(q), books[len(q)]
-                cells.append(traverse(one @ a, two @ b, counts[len(q)], enough[len(q)]))
-            yield pdf.assign(cells=cells)
+                least.append(last_sum(one @ a, two @ b, counts[len(q)], enough[len(q)]))
+            yield pdf.assign(least=least)
 
-    return queries.mapInPandas(run, "row long, id long, v array<double>, dim int, cells array<int>")
+    return queries.mapInPandas(run, "row long, id long, v array<double>, dim int, least double")
 
 
-def _ask(k: int):
+def _ask(k: int, books: dict):
     def ask(index: dict[str, np.ndarray], queries: pd.DataFrame) -> pd.DataFrame:
         v, ids, rows, cells, first = (index[x] for x in ("v", "ids", "rows", "cells", "first"))
-        q, own = matrix(queries["v"]), queries["row"].to_numpy(np.int64)
+        v, long = v.astype(np.float64), np.diff(first)
+        q, own, least = matrix(queries["v"]), queries["row"].to_numpy(np.int64), queries["least"].to_numpy(np.float64)
+        (one, two), (a, b) = books[q.shape[1]], _halves(q)
+        i, j = cells // len(two), cells % len(two)
         near, scores, of = [], [], []
-        for i, visit in enumerate(queries["cells"]):
-            visit = np.asarray(visit, dtype=np.int64)
-            place = np.minimum(np.searchsorted(cells, visit), len(cells) - 1)
-            place = place[cells[place] == visit]
-            long = first[place + 1] - first[place]
-            at = np.repeat(first[place] - (np.cumsum(long) - long), long) + np.arange(int(long.sum()))
-            at = at[rows[at] != own[i]]
-            some = v[at]
-            best, score = _top(some @ q[i], ids[at], some, q[i], k)
-            near.append(ids[at[best]]), scores.append(score), of.append(np.full(len(best), i))
+        for lo in range(0, len(q), GROUP):
+            some = q[lo : lo + GROUP]
+            x, y = a[lo : lo + GROUP] @ one.T, b[lo : lo + GROUP] @ two.T
+            # Sums come out a little different here, so a tie with the last cell is visited too.
+            slack = 1e-12 * (np.abs(x).max(axis=1) + np.abs(y).max(axis=1))
+            visited = x[:, i] + y[:, j] >= (least[lo : lo + GROUP] - slack)[:, None]
+            # The cells that any of these queries visits, as one product; each query ranks its own.
+            met = visited.any(axis=0)
+            entries = np.flatnonzero(np.repeat(met, long))
+            product = some @ v[entries].T
+            for n in range(len(some)):
+                mine = np.repeat(visited[n, met], long[met]) & (rows[entries] != own[lo + n])
+                best, score = _top(product[n, mine], entries[mine], ids, v, some[n], k)
+                near.append(ids[best]), scores.append(score), of.append(np.full(len(best), lo + n))
         of = np.concatenate(of)
         return pd.DataFrame({"row": own[of], "query_id": queries["id"].to_numpy(np.int64)[of], "vec_id": np.concatenate(near), "score": np.concatenate(scores)})
 
@@ -179,12 +202,12 @@ def _exactly(k: int):
 
     def ask(index: dict[str, np.ndarray], queries: pd.DataFrame) -> pd.DataFrame:
         v, ids, rows, cells, first = (index[x] for x in ("v", "ids", "rows", "cells", "first"))
-        out = []
+        v, out = v.astype(np.float64), []
         for q, own in zip(matrix(queries["v"]), queries["row"]):
             at = np.flatnonzero(rows != own)
-            best, score = _top(v[at] @ q, ids[at], v[at], q, k)
-            cell = cells[np.searchsorted(first, at[best], side="right") - 1]
-            out.append(pd.DataFrame({"row": own, "vec_id": ids[at[best]], "score": score, "cell": cell}))
+            best, score = _top((v @ q)[at], at, ids, v, q, k)
+            cell = cells[np.searchsorted(first, best, side="right") - 1]
+            out.append(pd.DataFrame({"row": own, "vec_id": ids[best], "score": score, "cell": cell}))
         return pd.concat(out)
 
     return ask
@@ -196,9 +219,11 @@ def _reach(audit: list, vectors: dict[int, np.ndarray], books, counts: dict[int,
     for own, q in vectors.items():
         dim = len(q)
         (a, b), (one, two) = _halves(q), books[dim]
-        cells = traverse(one @ a, two @ b, counts[dim], int(counts[dim].sum()))
+        cells = np.flatnonzero(counts[dim])
+        x, y = one @ a, two @ b
+        cells = cells[np.argsort(-(x[cells // len(two)] + y[cells % len(two)]), kind="stable")]
         before = np.concatenate([[0], np.cumsum(counts[dim][cells])[:-1]])
-        stands = dict(zip(cells, before.tolist()))
+        stands = dict(zip(cells.tolist(), before.tolist()))
         found.setdefault(dim, []).extend(stands[r.cell] + 1 for r in audit if r.row == own)
     total = {dim: int(c.sum()) for dim, c in counts.items()}
     return {dim: min(total[dim], int(np.quantile(found[dim], WANTED, method="higher")) + k) if found.get(dim) else total[dim] for dim in counts}
@@ -235,7 +260,7 @@ def nearest(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding"
     audit = exact.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).collect()
     enough = _reach(audit, {r.row: np.array(r.v) for r in audited.collect()}, books, counts, k)
     blocks = max(1, -(-(n // every) // BLOCK_ROWS))
-    found = probe(entries, _visits(queries, books, counts, enough), "row", shards, blocks, _ask(k), "row long, query_id long, vec_id long, score double")
+    found = probe(entries, _visits(queries, books, counts, enough), "row", shards, blocks, _ask(k, books), "row long, query_id long, vec_id long, score double")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 

@@ -1,4 +1,5 @@
 import numpy as np
+import pandas as pd
 
 from millrace.llm import multi_index
 
@@ -77,3 +78,19 @@ def test_bounded_sample(spark):
             n = bounded(df, "x", F.col(key), most).count()
             assert most // 4 <= n <= most, (most, key, n)
     assert bounded(df, "x", F.col("id"), 60_000).count() == 60_000
+
+
+def test_what_travels_with_a_query_does_not_follow_the_cells(spark):
+    rng = np.random.default_rng(4)
+    a, b, many = rng.normal(size=40), rng.normal(size=30), rng.integers(0, 5, 1200)
+    total = int(many.sum())
+    for enough in (1, total // 40, total // 3, total - 1):
+        cells, last = multi_index.traverse(a, b, many, enough), multi_index.last_sum(a, b, many, enough)
+        assert sorted(cells) == [c for c in np.flatnonzero(many) if a[c // 30] + b[c % 30] >= last]
+    assert multi_index.last_sum(a, b, many, total) == -np.inf
+    q = spark.createDataFrame([(0, 20, [1.0, 2.0], 2)], "row long, id long, v array<double>, dim int")
+    books = {2: (np.ones((3, 1)), np.ones((2, 1)))}
+    assert multi_index._visits(q, books, {2: np.ones(6, np.int64)}, {2: 4}).dtypes[4:] == [("least", "double")]
+    v = rng.normal(size=(1000, 64)).astype(np.float32)
+    got = multi_index._entries({64: (v[:8, :32].astype(float), v[:8, 32:].astype(float))})(pd.DataFrame({"row": np.arange(1000), "id": np.arange(1000), "v": list(v), "dim": 64, "shard": 0}))
+    assert len(got["blob"][0]) / 1000 * multi_index.SHARD_ROWS < 24e6
