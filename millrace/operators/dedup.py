@@ -44,7 +44,8 @@ def near_pairs(rows: DataFrame, id_col: str, hash_col: str, most: int) -> DataFr
         bands = classes.select("h", F.posexplode(F.array(*[band(k) for k in range(4)])).alias("k", "band"))
         near = F.array(*[F.lit(x) for x in _neighbours(16, most // 4)])
         wide = bands.select(F.col("h").alias("g"), "k", F.explode(F.transform(near, lambda x: F.col("band").bitwiseXOR(x))).alias("band"))
-        met = bands.join(wide, ["k", "band"]).where((F.col("h") < F.col("g")) & (hamming(F.col("h"), F.col("g")) <= most)).select("h", "g").distinct()
+        # Spark takes `wide` for as small as `classes`, of which it is 68 to 548 times, and would broadcast it.
+        met = bands.hint("merge").join(wide, ["k", "band"]).where((F.col("h") < F.col("g")) & (hamming(F.col("h"), F.col("g")) <= most)).select("h", "g").distinct()
     else:
         met = _blockwise(classes, most)
     met = met.unionByName(classes.select("h", F.col("h").alias("g")))

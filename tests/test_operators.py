@@ -152,3 +152,9 @@ def test_ingest_goes_on_where_it_was(spark, tmp_path):
     done = spark.read.parquet(out)
     assert sorted(r.item for r in done.collect()) == [1, 2, 3]
     assert ingest.to_do(spark.range(6).withColumnRenamed("id", "item"), done.select("item"), spark.createDataFrame([(4,)], "item long"), "item").count() == 2
+
+
+def test_exploded_bands_are_not_broadcast(spark):
+    rows = spark.createDataFrame([(k, k * 0x9E3779B97F4A7C15 % 2**62) for k in range(500)], "i long, h long")
+    plan = dedup.near_pairs(rows, "i", "h", 6)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin [k#" in plan and "BroadcastHashJoin [k#" not in plan
