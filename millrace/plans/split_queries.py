@@ -97,7 +97,8 @@ be AS (SELECT label, image, src FROM b1 WHERE label IN (SELECT label FROM b1 GRO
 def photo_sides(spark, d):
     """Merged types: photos stay on one side, each side is capped, held-out types take part in evaluation only."""
     rows = _best_of_clusters(spark, d).select("label", "image", "src", "photo")
-    held = splits.heldout_types(rows, "label", fixed=HELD)
+    # Tables whose held-out types have no rows left are split too.
+    held = rows.where(F.col("label").isin(HELD)).select("label").distinct()
     photos = splits.photo_sides(rows, "photo", 0.2, 42).withColumn("seen", F.lit(True))
     rows = rows.join(photos, "photo", "left").join(held.withColumn("held", F.lit(True)), "label", "left")
     web = F.col("photo").isNull()

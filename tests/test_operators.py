@@ -5,7 +5,9 @@ from pyspark.sql import functions as F
 
 from millrace.operators import dedup, fusion, quality, retrieval, splits
 from millrace.operators.components import connected_components
+from millrace.plans import split_queries
 from millrace.streaming import ingest, rate_limit
+from tests.duck import same_rows
 
 HITS = "query_id int, source string, product_id long, score double, hit_rank int"
 QUERY = "query_id int, confidence double, alpha double, beta double, gamma double"
@@ -158,3 +160,13 @@ def test_exploded_bands_are_not_broadcast(spark):
     rows = spark.createDataFrame([(k, k * 0x9E3779B97F4A7C15 % 2**62) for k in range(500)], "i long, h long")
     plan = dedup.near_pairs(rows, "i", "h", 6)._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin [k#" in plan and "BroadcastHashJoin [k#" not in plan
+
+
+
+
+def test_held_out_types_without_rows(spark, tmp_path):
+    # No vector has a held-out label.
+    vectors = [[float((k * 7919 + j * 104729 + k * j) % 1009 - 504) for j in range(64)] for k in range(120)]
+    spark.createDataFrame([(k, v, 1) for k, v in enumerate(vectors)], "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    for name in ("split_photos", "split_photo_leaks"):
+        same_rows(split_queries.QUERIES[name](spark, str(tmp_path)), split_queries.ORACLE[name], str(tmp_path))
