@@ -24,14 +24,14 @@ def by_source(images: DataFrame, short_edge: int = SHORT_EDGE) -> DataFrame:
     return images.groupBy("source").agg(F.count("*").alias("n"), F.count_if(corrupt).alias("corrupt"), F.count_if(small).alias("undersized"))
 
 
-def report(images: DataFrame, short_edge: int = SHORT_EDGE, near_limit: int = NEAR_LIMIT) -> DataFrame:
+def report(images: DataFrame, short_edge: int = SHORT_EDGE, near_limit: int | None = NEAR_LIMIT) -> DataFrame:
     """One row: images read, corrupt, undersized, distinct hashes, surplus copies, and near pairs of distinct hashes, null if
-    there are more hashes than `near_limit`. images: path, source, phash, width, height."""
+    there are more hashes than `near_limit` (None: counted however many there are). images: path, source, phash, width, height."""
     corrupt, small = _bad(short_edge)
     whole = images.agg(F.count("*").alias("n_scanned"), F.count_if(corrupt).alias("n_corrupt"), F.count_if(small).alias("n_undersized"))
     hashes = images.where("phash is not null").groupBy("phash").agg(F.count("*").alias("n"))
     copies = hashes.agg(F.count("*").alias("n_unique_phash"), F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("n_exact_duplicates"))
-    if hashes.count() <= near_limit:
+    if near_limit is None or hashes.count() <= near_limit:
         near = dedup.near_pairs(hashes, "phash", "phash", NEAR).agg(F.count("*").alias("near_pairs"))
     else:
         near = images.sparkSession.sql("SELECT CAST(NULL AS BIGINT) AS near_pairs")

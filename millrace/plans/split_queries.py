@@ -224,7 +224,7 @@ QUERIES = {
     "sample_per_class": lambda spark, d: splits.sample_each(spark.read.parquet(f"{d}/part.parquet").select("p_type", "p_partkey"), "p_type", "p_partkey", 3),
     "group_sizes": lambda spark, d: audit.largest_groups(_entities(spark, d), "grp"),
     "queries_against_gallery": lambda spark, d: dedup.without_near(_vectors(spark, d).where("src = 0"), _vectors(spark, d).where("src > 0"), "label", "phash", 22).select("image", "label"),
-    "audit_report": lambda spark, d: audit.report(_pictures(spark, d)),
+    "audit_report": lambda spark, d: audit.report(_pictures(spark, d), near_limit=None),
     "audit_sources": lambda spark, d: audit.by_source(_pictures(spark, d)),
     "audit_copies": lambda spark, d: audit.copies(_pictures(spark, d)),
     "clean_manifest": manifest,

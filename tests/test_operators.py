@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.operators import dedup, fusion, quality, retrieval, splits
+from millrace.operators import audit, dedup, fusion, quality, retrieval, splits
 from millrace.operators.components import connected_components
 from millrace.plans import split_queries
 from millrace.streaming import ingest, rate_limit
@@ -162,6 +162,15 @@ def test_exploded_bands_are_not_broadcast(spark):
     assert "SortMergeJoin [k#" in plan and "BroadcastHashJoin [k#" not in plan
 
 
+def test_report_counts_near_pairs_however_many_hashes(spark):
+    images = spark.createDataFrame([("a", "s", 0, 500, 500), ("b", "s", 1, 500, 500), ("c", "s", 1 << 40, 500, 500)], "path string, source string, phash long, width int, height int")
+    assert audit.report(images, near_limit=2).first().near_pairs is None
+    assert audit.report(images, near_limit=None).first().near_pairs == 3
+
+
+def test_query_reports_whole_tables(spark, monkeypatch):
+    monkeypatch.setattr(audit.report, "__defaults__", (audit.SHORT_EDGE, 1))
+    assert split_queries.QUERIES["audit_report"](spark, "/root/testdata/sf0.001").first().near_pairs is not None
 
 
 def test_held_out_types_without_rows(spark, tmp_path):
