@@ -16,6 +16,9 @@ NUMBER_SHAPES = (r"\b[A-Z]{2,4}\d{2,5}[A-Z]?\b", r"\b[A-Z]{1,4}\d{2,4}[/-]\d{1,4
 #: Shapes of the codes that a combined name holds.
 CODE_SHAPES = r"\d{5}-[A-Z0-9]{3}-[A-Z0-9]{2,3}|\d{5}-\d{5}(?:-\d{2})?(?=-|$)|IP-\d{2}-\d{4}[A-Z]*"
 
+#: The same for numbers made from keys, which have five digits or more.
+LONG_CODE_SHAPES = CODE_SHAPES.replace(r"\d{5}-[A-Z0-9]{3}-", r"\d{5,}-[A-Z0-9]{3}-")
+
 
 def _or_empty(x: Column) -> Column:
     return F.coalesce(x, F.lit(""))
@@ -150,9 +153,9 @@ def file_safe(raw: Column) -> Column:
     return F.regexp_replace(F.replace(_or_empty(raw), F.lit("::"), F.lit("__")), "[^A-Za-z0-9._-]+", "_")
 
 
-def split_codes(name: Column) -> Column:
-    """Codes of a combined name, left to right; what has no known shape ends at the next hyphen."""
-    found = F.regexp_extract_all(_or_empty(name), F.lit(rf"({CODE_SHAPES}|[^-]*)(?:.|$)"), F.lit(1))
+def split_codes(name: Column, shapes: str = CODE_SHAPES) -> Column:
+    """Codes of a combined name, left to right; what has none of the `shapes` ends at the next hyphen."""
+    found = F.regexp_extract_all(_or_empty(name), F.lit(rf"({shapes}|[^-]*)(?:.|$)"), F.lit(1))
     return F.filter(found, lambda c: c != "")
 
 

@@ -199,9 +199,9 @@ def product_groups(parts: DataFrame, titles: DataFrame, items: DataFrame, images
     return parts.select("part_id").join(found, parts["part_id"] == found["id"], "left").select("part_id", F.coalesce("component", "part_id").alias("group"))
 
 
-def equivalences(names: DataFrame, name: str = "name") -> DataFrame:
+def equivalences(names: DataFrame, name: str = "name", shapes: str = X.CODE_SHAPES) -> DataFrame:
     """Names that hold two codes or more: the codes as part numbers, and whether to look at them."""
-    codes = X.split_codes(F.col(name))
+    codes = X.split_codes(F.col(name), shapes)
     members = F.transform(codes, X.part_number)
     return names.where(F.size(codes) >= 2).select(name, members.alias("members"), F.lit("folder_name").alias("evidence"), X.needs_check(members).alias("needs_check"), F.lit(False).alias("reviewed"))
 

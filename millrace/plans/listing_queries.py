@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions import dictionaries as D
+from millrace.functions import text as X
 from millrace.operators import listings
 from millrace.plans.service_queries import _listed, _pick
 
@@ -146,7 +147,7 @@ pg(id, low) AS (SELECT part_id, part_id FROM ca UNION SELECT e.y, pg.low FROM pg
 def equivalents(spark, d):
     k = F.col("p_partkey")
     name = F.concat_ws("-", F.concat((10000 + k).cast("string"), F.lit("-KGH-901")), F.when(k % 2 == 0, F.concat(F.lit("IP-01-"), F.lpad((k % 9999).cast("string"), 4, "0"))), F.when(k % 3 == 0, "misc"))
-    out = listings.equivalences(spark.read.parquet(f"{d}/part.parquet").select(name.alias("name")))
+    out = listings.equivalences(spark.read.parquet(f"{d}/part.parquet").select(name.alias("name")), shapes=X.LONG_CODE_SHAPES)
     return out.select("name", F.array_join("members", ",").alias("members"), "needs_check")
 
 

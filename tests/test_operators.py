@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from millrace.operators import audit, dedup, fusion, quality, retrieval, splits
 from millrace.operators.components import connected_components
-from millrace.plans import split_queries
+from millrace.plans import listing_queries, split_queries
 from millrace.streaming import ingest, rate_limit
 from tests.duck import same_rows
 
@@ -179,3 +179,9 @@ def test_held_out_types_without_rows(spark, tmp_path):
     spark.createDataFrame([(k, v, 1) for k, v in enumerate(vectors)], "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
     for name in ("split_photos", "split_photo_leaks"):
         same_rows(split_queries.QUERIES[name](spark, str(tmp_path)), split_queries.ORACLE[name], str(tmp_path))
+
+
+def test_codes_of_keys_with_six_digits(spark, tmp_path):
+    spark.range(89_990, 90_020).selectExpr("id AS p_partkey").write.parquet(f"{tmp_path}/part.parquet")
+    for plans, name in ((listing_queries, "equivalences"),):
+        same_rows(plans.QUERIES[name](spark, str(tmp_path)), plans.ORACLE[name], str(tmp_path))
