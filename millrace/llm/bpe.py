@@ -26,7 +26,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.texts import map_texts
+from millrace.llm.texts import held, let_go, map_texts
 from millrace.storage import shared_dir, written
 
 #: The pattern that splits text before the merges.
@@ -371,6 +371,7 @@ class Encoder:
 
 def _counted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pieces between white space and their counts in a partition, in parts of bounded size."""
+    let_go()
     pieces: Counter = Counter()
 
     def flush() -> pa.RecordBatch:
@@ -424,15 +425,9 @@ def publish(spark: SparkSession, block: bytes, kind: str) -> str:
     return name
 
 
-#: One encoder for each lexicon and tokenizer file of a worker process.
-_ENCODERS: dict[tuple[str, str], Encoder] = {}
-
-
 def _encoder(lexicon: str, tokenizer: str) -> Encoder:
-    if (lexicon, tokenizer) not in _ENCODERS:
-        _ENCODERS.clear()
-        _ENCODERS[lexicon, tokenizer] = Encoder(Vocabulary(SparkFiles.get(tokenizer)), Lexicon.mapped(SparkFiles.get(lexicon)))
-    return _ENCODERS[lexicon, tokenizer]
+    """The worker's encoder, kept from task to task until it does something else."""
+    return held((lexicon, tokenizer), lambda: Encoder(Vocabulary(SparkFiles.get(tokenizer)), Lexicon.mapped(SparkFiles.get(lexicon))))
 
 
 def _published(docs: DataFrame, text_col: str, path: str, words: int) -> tuple[str, str]:
@@ -442,6 +437,7 @@ def _published(docs: DataFrame, text_col: str, path: str, words: int) -> tuple[s
         tokenizer = publish(spark, f.read(), "tokenizer")
 
     def compiled(table: pa.Table) -> pa.Table:
+        let_go()
         vocabulary = Vocabulary(SparkFiles.get(tokenizer))
         found = dict.fromkeys(w.encode("utf-8", "surrogatepass") for p in sorted(table.column("piece").to_pylist()) for w in split_piece(" " + p))
         return pa.table({"block": pa.array([compile_lexicon({w: vocabulary.merge(w) for w in found})], pa.binary())})
@@ -469,7 +465,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
 
         return run
 
-    return map_texts(docs, make, "n_tokens long, ids array<int>", GROUP_BYTES, id_col, text_col)
+    return map_texts(docs, make, "n_tokens long, ids array<int>", GROUP_BYTES, id_col, text_col, files)
 
 
 def decode(encoded: DataFrame, ids_col: str = "ids", path: str | None = None) -> DataFrame:
@@ -501,7 +497,7 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pat
 
         return run
 
-    return map_texts(docs, make, "n_tokens long, ids_sha256 string, decoded_sha256 string", GROUP_BYTES, id_col, text_col)
+    return map_texts(docs, make, "n_tokens long, ids_sha256 string, decoded_sha256 string", GROUP_BYTES, id_col, text_col, files)
 
 
 def op2(spark, sf_dir: str) -> DataFrame:

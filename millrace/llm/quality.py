@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.sampling import bounded
-from millrace.llm.texts import filter_texts, map_texts
+from millrace.llm.texts import filter_texts, let_go, map_texts
 
 #: Rated documents that the model is fitted to at most, and hashed features.
 SAMPLE, DIMENSIONS = 16_000, 2**18
@@ -28,6 +28,8 @@ LEAST_TELLING, PASSES, STEP_DOCS, RATE, PULL = 27.0, 12, 64, 0.15, 1e-4
 #: Grades, and the probability of the best one from which a document is kept.
 GRADES, KEEP = 3, 0.5
 MEMO = 200_000
+#: Documents whose features are counted together.
+COUNT_DOCS = 256
 #: Bytes of a word's beginnings that are features of their own.
 STEMS = (4, 5)
 
@@ -91,10 +93,14 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
-def _telling(rows: list[np.ndarray], grades: np.ndarray, flat: np.ndarray) -> np.ndarray:
+def _telling(rows: list[np.ndarray], grades: np.ndarray) -> np.ndarray:
     """How unevenly each feature falls on the grades: the likelihood-ratio statistic of having it or not."""
-    owner = np.repeat(grades, [len(r) for r in rows])
-    have = np.array([np.bincount(flat[owner == g], minlength=DIMENSIONS) for g in range(GRADES)], dtype=float)
+    have = np.zeros((GRADES, DIMENSIONS))
+    for g in range(GRADES):
+        of = np.flatnonzero(grades == g).tolist()
+        # Some rows at a time: all features of the sample in one array, and copies of it, took hundreds of megabytes.
+        for at in range(0, len(of), COUNT_DOCS):
+            have[g] += np.bincount(np.concatenate([rows[i] for i in of[at : at + COUNT_DOCS]]), minlength=DIMENSIONS)
     size = np.bincount(grades, minlength=GRADES).astype(float)[:, None]
     total, out = have.sum(axis=0), 0.0
     for part, whole in ((have, total), (size - have, size.sum() - total)):
@@ -121,9 +127,8 @@ def fit(rows: list[np.ndarray], grades: np.ndarray) -> Model:
     n, levels = len(rows), GRADES - 1
     if not n:
         return Model(np.zeros(DIMENSIONS, np.float32), np.full(levels, -40.0))
-    flat = np.concatenate(rows)
-    common = np.flatnonzero(_telling(rows, grades, flat) >= LEAST_TELLING)
-    column = np.full(DIMENSIONS, -1, dtype=np.int64)
+    common = np.flatnonzero(_telling(rows, grades) >= LEAST_TELLING)
+    column = np.full(DIMENSIONS, -1, dtype=np.int32)
     column[common] = np.arange(len(common))
     rows = [c[c >= 0] for c in (column[r] for r in rows)]
     w, seen = np.zeros(len(common)), np.full(len(common), 1e-8)
@@ -139,7 +144,7 @@ def fit(rows: list[np.ndarray], grades: np.ndarray) -> Model:
             pick = order[at : at + STEP_DOCS]
             idx = [rows[i] for i in pick]
             long = np.array([len(i) for i in idx])
-            cat = np.concatenate(idx) if long.sum() else np.zeros(0, np.int64)
+            cat = np.concatenate(idx) if long.sum() else np.zeros(0, np.int32)
             owner = np.repeat(np.arange(len(pick)), long)
             s = np.bincount(owner, weights=w[cat], minlength=len(pick))
             t = np.concatenate([[base], base + np.cumsum(np.exp(gaps))])
@@ -172,6 +177,20 @@ def graded(labels: DataFrame) -> DataFrame:
     return labels.where("doc_id is not null and quality is not null").select(F.col("doc_id").cast("long").alias("doc_id"), grade.alias("grade")).groupBy("doc_id").agg(F.min("grade").alias("grade"))
 
 
+def _first_rows(table: pa.Table) -> tuple[list[np.ndarray], np.ndarray]:
+    """Features and grade of each document by its id, the first row by its text's hash; without features none. Features are views of the table's."""
+    ids, mixed, grades = (table.column(c).to_numpy() for c in ("doc_id", "mixed", "grade"))
+    views = []
+    for chunk in table.column("places").chunks:
+        flat, at = chunk.values.to_numpy(), chunk.offsets.to_numpy().tolist()
+        views += [flat[a:b] for a, b in zip(at, at[1:])]
+    order = np.lexsort((mixed, ids))
+    first = np.ones(len(ids), dtype=bool)
+    first[1:] = ids[order][1:] != ids[order][:-1]
+    keep = [k for k in order[first].tolist() if len(views[k])]
+    return [views[k] for k in keep], grades[keep].astype(int)
+
+
 def train(docs: DataFrame, ratings: DataFrame, sample: int = SAMPLE) -> Model:
     """The model for at most `sample` rated documents, taken by a hash of their id. docs: doc_id, text.
 
@@ -190,13 +209,8 @@ def train(docs: DataFrame, ratings: DataFrame, sample: int = SAMPLE) -> Model:
         return run
 
     def fitted(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("doc_id", "ascending"), ("mixed", "ascending")])
-        ids, grades, places = table.column("doc_id").to_numpy(), table.column("grade").to_numpy(), table.column("places").combine_chunks()
-        flat, at = places.flatten().to_numpy(), places.offsets.to_numpy()
-        at = at - at[0]
-        first = np.concatenate([[True], ids[1:] != ids[:-1]])
-        keep = np.flatnonzero(first & (at[1:] > at[:-1])).tolist()
-        model = fit([flat[at[k] : at[k + 1]] for k in keep], grades[keep].astype(int))
+        let_go()
+        model = fit(*_first_rows(table))
         return pa.table({"weights": [model.weights.tobytes()], "thresholds": [model.thresholds.tolist()]})
 
     rows = map_texts(rated, make, "places array<int>, mixed long").join(F.broadcast(chosen), "doc_id")

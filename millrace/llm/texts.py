@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Hashable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,9 +31,30 @@ def groups(texts: pa.Array, size: int) -> Iterator[tuple[int, list[str]]]:
         at = to
 
 
-def map_texts(docs: DataFrame, make: Callable[[], Callable[[list[str]], dict]], schema: str, size: int = 4_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+#: What this worker keeps between tasks, one thing at most: workers outlive an operator, and what each one left would add up.
+_HELD: dict = {}
+
+
+def held(key: Hashable, make: Callable[[], object]) -> object:
+    """What ``make()`` gave for `key`; a worker keeps it until a task asks for another or lets go of it."""
+    if key not in _HELD:
+        let_go()
+        _HELD[key] = make()
+    return _HELD[key]
+
+
+def let_go(key: Hashable = None) -> None:
+    """Drop what this worker keeps, unless it is kept for `key`."""
+    if _HELD and key not in _HELD:
+        _HELD.clear()
+        pa.default_memory_pool().release_unused()
+
+
+def map_texts(docs: DataFrame, make: Callable[[], Callable[[list[str]], dict]], schema: str, size: int = 4_000_000, id_col: str = "doc_id", text_col: str = "text", keep: Hashable = None) -> DataFrame:
     """Rows ``(doc_id, *schema)``: ``make()`` is called once a task and gives a function of a group of texts to columns.
 
+    keep: the key of what ``make()`` asks `held` for.
+
     Spark bounds Arrow batches by bytes (64 MB unless set otherwise), and groups are bounded here, so a task's memory doesn't
     follow the length of the texts but for a single very long one.
     """
@@ -41,6 +62,7 @@ def map_texts(docs: DataFrame, make: Callable[[], Callable[[list[str]], dict]],
     arrow = to_arrow_schema(struct)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go(keep)
         work = make()
         for batch in batches:
             ids = batch.column(0)
@@ -57,6 +79,7 @@ def filter_texts(docs: DataFrame, make: Callable[[], Callable[[list[str]], list[
     place = docs.columns.index(text_col)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         work = make()
         for batch in batches:
             for at, group in groups(batch.column(place), size):

@@ -1,3 +1,4 @@
+import gc
 import hashlib
 import random
 
@@ -7,7 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from millrace.llm import bpe
+from millrace.llm import bpe, texts
 
 
 @pytest.fixture(scope="module")
@@ -70,3 +71,28 @@ def test_operator(spark):
     back = {r.doc_id: r.text for r in bpe.decode(bpe.encode(docs)).collect()}
     assert back == {**{k: t or "" for k, t in enumerate(texts)}, None: "x"}
     assert bpe.encode(docs.limit(0)).collect() == []
+
+
+def test_workers_let_go_of_the_encoder(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").repartition(8)
+    assert bpe.encode(docs).where("n_tokens > 0").count()
+
+    def make():
+        left = sum(isinstance(x, bpe.Encoder) for x in gc.get_objects())
+        return lambda group: {"left": [left] * len(group)}
+
+    # Workers outlive a query; another operator's tasks run in the same ones.
+    assert {r["left"] for r in texts.map_texts(docs, make, "left int").select("left").distinct().collect()} == {0}
+
+
+def test_a_worker_keeps_one_thing():
+    made = []
+    try:
+        for key in ("a", "a", "b", "a"):
+            texts.held(key, lambda: made.append(key) or key)
+        texts.let_go("a")
+        assert made == ["a", "b", "a"] and texts.held("a", lambda: "new") == "a"
+        texts.let_go()
+        assert texts.held("a", lambda: "new") == "new"
+    finally:
+        texts.let_go()

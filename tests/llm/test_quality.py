@@ -1,7 +1,9 @@
 import math
 import random
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from millrace.llm import quality
@@ -138,3 +140,28 @@ def test_query_against_plain_scores(spark, sf):
         assert r.expected_grade == pytest.approx(sum(tails), abs=1e-6) and r.p_good == pytest.approx(tails[-1], abs=1e-6)
         assert r.kept == (tails[-1] >= quality.KEEP) or abs(tails[-1] - quality.KEEP) < 1e-6
     assert len(got) == docs.count()
+
+
+def test_fit_takes_less_than_its_features():
+    # All features in one array, their documents beside them and copies by grade were several times the sample.
+    rng = np.random.default_rng(7)
+    rows = [rng.integers(0, quality.DIMENSIONS, 3_000).astype(np.int32) for _ in range(4_000)]
+    grades = rng.integers(0, quality.GRADES, len(rows))
+    tracemalloc.start()
+    try:
+        quality.fit(rows, grades)
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert most < sum(r.nbytes for r in rows)
+
+
+def test_first_rows():
+    # Two batches, the second cut from a longer one; ids repeat across them, and the smaller hash counts, without features none.
+    schema = pa.schema([("doc_id", pa.int64()), ("places", pa.list_(pa.int32())), ("mixed", pa.int64()), ("grade", pa.int32())])
+    one = pa.record_batch([[5, 2, 9], [[7, 8], [1], [3]], [4, 6, 1], [2, 0, 1]], schema=schema)
+    two = pa.record_batch([[0, 5, 1, 2], [[6], [9], [], [2, 4]], [0, 3, 2, 8], [1, 2, 1, 0]], schema=schema).slice(1)
+    rows, grades = quality._first_rows(pa.Table.from_batches([one, two]))
+    assert [r.tolist() for r in rows] == [[1], [9], [3]] and grades.tolist() == [0, 2, 1]
+    rows, grades = quality._first_rows(pa.Table.from_batches([], schema))
+    assert rows == [] and len(grades) == 0
