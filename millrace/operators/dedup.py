@@ -13,6 +13,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 from millrace.functions.vectors import hamming, mean_absolute_difference
 from millrace.operators.components import connected_components
+from millrace.storage import written
 
 
 def exact_groups(rows: DataFrame, hash_col: str, source_col: str) -> DataFrame:
@@ -28,30 +29,41 @@ def _neighbours(bits: int, radius: int) -> list[int]:
 def near_pairs(rows: DataFrame, id_col: str, hash_col: str, most: int) -> DataFrame:
     """``(a, b, distance)``, a < b, of 64-bit hashes at most `most` bits apart; none is missed.
 
-    Rows of equal hash are one class, classes are compared, and pairs of rows follow at the end. The 64 bits are four bands
-    of 16; two hashes at most `most` apart are at most a fourth of that apart in one band. So one side of an equi-join has
-    each band with all its neighbours within that radius, the other its bands as they are, and the distance is looked at
-    inside the join: up to distance 11 each class has 548 keys at most, and a band of 16 bits tells classes apart well.
-    Beyond that most pairs of any hashes are candidates in some band; then classes are compared block by block in one pass
-    each, which takes the square of their number in time, not in rows.
+    Rows of equal hash are one class, classes are compared by `near_hashes`, and pairs of rows follow at the end.
     """
-    if most >= 64:
-        raise ValueError("a distance of 64 bits makes every pair near")
     named = rows.select(F.col(id_col).alias("i"), F.col(hash_col).alias("h")).where("h is not null")
     classes = named.select("h").distinct()
+    met = near_hashes(classes, "h", most).toDF("h", "g").unionByName(classes.select("h", F.col("h").alias("g")))
+    a, b = named.select(F.col("i").alias("x"), "h"), named.select(F.col("i").alias("y"), F.col("h").alias("g"))
+    pairs = met.join(a, "h").join(b, "g").where("h <> g or x < y")
+    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), hamming(F.col("h"), F.col("g")).alias("distance"))
+
+
+def near_hashes(classes: DataFrame, hash_col: str, most: int) -> DataFrame:
+    """``(a, b)``, a < b, of distinct 64-bit hashes at most `most` bits apart; none is missed.
+
+    The 64 bits are four bands of 16, each with a radius; the radii and one each add up to more than `most`, so two hashes
+    at most `most` apart are within the radius in one band. So one side of an equi-join has each band with all its
+    neighbours within that radius, the other its bands as they are, and the distance is looked at inside the join: up to
+    distance 11 each hash has 548 keys at most, and a band of 16 bits tells hashes apart well. Beyond that most pairs of
+    any hashes are candidates in some band; then hashes are compared block by block in one pass each, which takes the
+    square of their number in time.
+    """
+    if most >= 64:
+        raise ValueError("a distance of 64 bits makes every pair near")
+    classes = classes.select(F.col(hash_col).alias("h")).where("h is not null")
     if most <= 11:
+        # The last band has the least radius: hashes of fewer than 64 bits have the fewest values there.
+        radii = [r for k in range(4) if (r := (max(most, 0) + 4 - k) // 4 - 1) >= 0]
         band = lambda k: F.shiftrightunsigned(F.col("h"), 16 * k).bitwiseAND(F.lit(0xFFFF)).cast("int")
-        bands = classes.select("h", F.posexplode(F.array(*[band(k) for k in range(4)])).alias("k", "band"))
-        near = F.array(*[F.lit(x) for x in _neighbours(16, most // 4)])
+        bands = classes.select("h", F.posexplode(F.array(*[band(k) for k in range(len(radii))])).alias("k", "band"))
+        near = F.get(F.array(*[F.array(*[F.lit(x) for x in _neighbours(16, r)]) for r in radii]), F.col("k"))
         wide = bands.select(F.col("h").alias("g"), "k", F.explode(F.transform(near, lambda x: F.col("band").bitwiseXOR(x))).alias("band"))
-        # Spark takes `wide` for as small as `classes`, of which it is 68 to 548 times, and would broadcast it.
+        # Spark takes `wide` for as small as `classes`, of which it is up to 548 times, and would broadcast it.
         met = bands.hint("merge").join(wide, ["k", "band"]).where((F.col("h") < F.col("g")) & (hamming(F.col("h"), F.col("g")) <= most)).select("h", "g").distinct()
     else:
         met = _blockwise(classes, most)
-    met = met.unionByName(classes.select("h", F.col("h").alias("g")))
-    a, b = named.select(F.col("i").alias("x"), "h"), named.select(F.col("i").alias("y"), F.col("h").alias("g"))
-    pairs = met.join(a, "h").join(b, "g").where("h <> g or x < y")
-    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), hamming(F.col("h"), F.col("g")).alias("distance"))
+    return met.toDF("a", "b")
 
 
 #: Hashes of a block.
@@ -94,6 +106,26 @@ def without_generic(pairs: DataFrame, part_of: DataFrame, most: int = 4) -> Data
     return p.join(generic.select(F.col("id").alias("a")), "a", "left_anti").join(generic.select(F.col("id").alias("b")), "b", "left_anti")
 
 
+def parts_by_image(images: DataFrame, part: str, hash_col: str, near: DataFrame, most: int = 4) -> DataFrame:
+    """``(a, b)``: parts tied by equal or near hashes of their images, but for those of images that are near more than `most`
+    other parts. The components are those of the pairs that `without_generic` leaves; images are never paired.
+
+    near: a, b, the near pairs of the different hashes. An image has its own part among those that its hash is near, so all
+    images of a hash are near equally many, and `most` + 2 parts of a hash tell whether those are too many. The parts of
+    any other hash are one component, as are those of two hashes that are near.
+    """
+    some = images.select(F.col(part).alias("part"), F.col(hash_col).alias("h")).dropna().distinct()
+    first = some.withColumn("place", F.row_number().over(Window.partitionBy("h").orderBy("part"))).where(F.col("place") <= most + 2)
+    hashes = written(first.groupBy("h").agg(F.array_sort(F.collect_list("part")).alias("parts")), "hash-parts")
+    both = near.select(F.explode(F.array(F.struct(F.col("a").alias("h"), F.col("b").alias("g")), F.struct(F.col("b").alias("h"), F.col("a").alias("g")), F.struct(F.col("a").alias("h"), F.col("a").alias("g")), F.struct(F.col("b").alias("h"), F.col("b").alias("g")))).alias("x")).select("x.*")
+    seen = both.distinct().join(hashes.select(F.col("h").alias("g"), "parts"), "g").select("h", F.explode("parts").alias("part")).distinct().groupBy("h").agg(F.count("*").alias("n"))
+    fit = hashes.join(seen, "h", "left").where(F.coalesce("n", F.size("parts")) <= most + 1).select("h", "parts")
+    heads = fit.select("h", F.col("parts")[0].alias("head"))
+    own = fit.select(F.explode("parts").alias("a"), F.col("parts")[0].alias("b"))
+    across = near.join(heads.toDF("a", "pa"), "a").join(heads.toDF("b", "pb"), "b").select(F.col("pa").alias("a"), F.col("pb").alias("b"))
+    return own.unionByName(across).where("a <> b").distinct()
+
+
 def leaders(rows: DataFrame, key: str, order: str, hash_col: str, most: int) -> DataFrame:
     """Greedy clusters within each key: a row joins the first leader within `most` bits, or leads. ``(key, order, leader)``.
 

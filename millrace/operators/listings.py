@@ -41,21 +41,25 @@ def gallery_sellers(rows: DataFrame, seed: int) -> DataFrame:
     return per.groupBy("part_id").agg(F.count("*").alias("n_sellers"), best.alias("b")).select("part_id", "n_sellers", F.col("b.seller").alias("gallery_seller"), (-F.col("b.n")).alias("n"))
 
 
-def build(items: DataFrame, images: DataFrame, min_sellers: int = 2, dup_dist: int = 6, least_side: int = 200, long_number: int | None = None, seed: int = 42) -> tuple[DataFrame, DataFrame, DataFrame]:
+def build(items: DataFrame, images: DataFrame, min_sellers: int = 2, dup_dist: int = 6, least_side: int = 200, long_number: int | None = None, seed: int = 42, near: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """``(catalog, gallery, queries)`` from listings.
 
     items: item_id, seq, mpn, brand, seller, title, query, category; images: item_id, image, phash, side (the shorter one).
     Images too small are left out. A photo whose near copies two sellers show, anywhere, is a stock photo. Of each part
     with enough sellers, the one with most images gives the gallery (ties in shuffled order); the others' images are
     queries, but for stock photos, near copies of the part's gallery, and near copies of a query before. Parts without a
-    query go. Copies are the components of near pairs, so the order of the images doesn't matter.
+    query go. Copies are the components of near pairs, so the order of the images doesn't matter. near: a, b, the near
+    pairs of all images' hashes, where they are known already.
     """
     keyed = part_keys(items, long_number)
     rows = keyed.join(images.where(F.col("side") >= least_side), "item_id").select("part_id", "brand", "mpn", "seller", "title", "query", "category", "seq", "item_id", "image", "phash")
     rows = written(rows, "listing-images")
     # Hashes are the nodes: equal ones are one photo.
     hashes = rows.select(F.col("phash").alias("id"), F.col("phash").alias("h")).distinct()
-    near = written(dedup.near_pairs(hashes, "id", "h", dup_dist).select("a", "b"), "listing-pairs")
+    if near is None:
+        near = written(dedup.near_hashes(hashes, "h", dup_dist), "listing-pairs")
+    else:
+        near = near.join(hashes.select(F.col("id").alias("a")), "a", "left_semi").join(hashes.select(F.col("id").alias("b")), "b", "left_semi")
     clusters = dedup.groups(hashes, "id", near).select(F.col("id").alias("phash"), F.col("group").alias("cluster"))
     rows = written(dedup.shown_by_several(rows.join(clusters, "phash"), "cluster", "seller", "stock").drop("cluster"), "listing-rows")
     chosen = gallery_sellers(rows, seed).where(F.col("n_sellers") >= min_sellers).drop("n")
@@ -180,12 +184,13 @@ def shared_by_few(owners: DataFrame, token: str, part: str, least: int = 2, most
     return o.join(few, "token").where("part != head").select(F.col("part").alias("a"), F.col("head").alias("b")).distinct()
 
 
-def product_groups(parts: DataFrame, titles: DataFrame, items: DataFrame, images: DataFrame, dup_dist: int = 6, generic: int = 4) -> DataFrame:
+def product_groups(parts: DataFrame, titles: DataFrame, items: DataFrame, images: DataFrame, dup_dist: int = 6, generic: int = 4, near: DataFrame | None = None) -> DataFrame:
     """``(part_id, group)``: parts that may be one product, by a long number in their titles, by a code of a seller's list, or by
     near copies among their images; images near to more than `generic` other parts are banners and don't count.
 
     parts: part_id, pos (their order), mpn, title; titles: part_id, title of queries; items: mpn, mpn_raw; images: image
-    (a number), part_id, phash. A number that several parts have belongs to the last of them.
+    (a number), part_id, phash. A number that several parts have belongs to the last of them. near: a, b, the near pairs of
+    all images' hashes, where they are known already.
     """
     own = parts.select("part_id", X.letters_digits(F.col("mpn")).alias("token")).where(F.length("token") >= 7)
     said = parts.select("part_id", "title").unionByName(titles.select("part_id", "title"))
@@ -193,8 +198,10 @@ def product_groups(parts: DataFrame, titles: DataFrame, items: DataFrame, images
     last = parts.groupBy(X.letters_digits(F.col("mpn")).alias("number")).agg(F.max_by("part_id", "pos").alias("part_id"))
     coded = items.select(X.letters_digits(F.col("mpn")).alias("number"), F.explode(X.seller_codes(F.col("mpn_raw"))).alias("token")).join(last, "number")
     by_code = shared_by_few(coded, "token", "part_id")
-    pairs = dedup.without_generic(dedup.near_pairs(images, "image", "phash", dup_dist), images.select(F.col("image").alias("id"), F.col("part_id").alias("part")), generic)
-    by_image = pairs.select(F.col("pa").alias("a"), F.col("pb").alias("b"))
+    images = images.where("image is not null")
+    if near is None:
+        near = written(dedup.near_hashes(images.select("phash").distinct(), "phash", dup_dist), "group-pairs")
+    by_image = dedup.parts_by_image(images, "part_id", "phash", near, generic)
     found = connected_components(by_number.unionByName(by_code).unionByName(by_image), "a", "b")
     return parts.select("part_id").join(found, parts["part_id"] == found["id"], "left").select("part_id", F.coalesce("component", "part_id").alias("group"))
 

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from millrace.functions import dictionaries as D
 from millrace.functions import text as X
-from millrace.operators import listings
+from millrace.operators import dedup, listings
 from millrace.plans.service_queries import _listed, _pick
+from millrace.storage import written
 
 LEAVES = [*D.LEAF_LABELS, "Other"]
 DIST = 6
@@ -44,8 +45,8 @@ def _checked(spark, d) -> DataFrame:
     return spark.read.parquet(f"{d}/part.parquet").where("p_partkey < 150 and p_partkey % 10 = 3").select(F.lower(_number(i)).alias("mpn"), _pick(["n", "m", "?", "y"], F.floor(i / 10)).alias("mark"))
 
 
-def _built(spark, d):
-    return listings.build(_items(spark, d), _images(spark, d), min_sellers=2, dup_dist=DIST, least_side=200, long_number=8, seed=42)
+def _built(spark, d, near=None):
+    return listings.build(_items(spark, d), _images(spark, d), min_sellers=2, dup_dist=DIST, least_side=200, long_number=8, seed=42, near=near)
 
 
 def _cleaned(spark, d):
@@ -124,10 +125,12 @@ ch AS (SELECT *, b.label AS label FROM wy WHERE why IS NULL QUALIFY row_number()
 
 
 def groups(spark, d):
-    catalog, _, queries = _built(spark, d)
-    parts = catalog.select("part_id", F.hash("part_id").alias("x"), "mpn", "title").withColumn("pos", F.col("part_id"))
+    near = written(dedup.near_hashes(_images(spark, d).select("phash").distinct(), "phash", DIST), "group-pairs")
+    catalog, _, queries = _built(spark, d, near)
+    catalog = written(catalog.select("part_id", "mpn", "title"), "group-parts")
+    parts = catalog.withColumn("pos", F.col("part_id"))
     images = _images(spark, d).join(_items(spark, d).select("item_id", "mpn"), "item_id").join(catalog.select("part_id", "mpn"), "mpn").select(F.concat("part_id", F.lit("/"), "image").alias("image"), "part_id", "phash")
-    return listings.product_groups(parts, queries.select("part_id", "title"), _items(spark, d), images, DIST, 4)
+    return listings.product_groups(parts, queries.select("part_id", "title"), _items(spark, d), images, DIST, 4, near)
 
 
 _GROUPS = f"""{_BUILD},

@@ -1,9 +1,10 @@
 import random
+from itertools import product
 
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.operators import audit, dedup, fusion, quality, retrieval, splits
+from millrace.operators import audit, dedup, fusion, listings, quality, retrieval, splits
 from millrace.operators.components import connected_components
 from millrace.plans import listing_queries, split_queries, text_queries
 from millrace.streaming import ingest, rate_limit
@@ -185,3 +186,44 @@ def test_codes_of_keys_with_six_digits(spark, tmp_path):
     spark.range(89_990, 90_020).selectExpr("id AS p_partkey").write.parquet(f"{tmp_path}/part.parquet")
     for plans, name in ((listing_queries, "equivalences"), (text_queries, "split_codes")):
         same_rows(plans.QUERIES[name](spark, str(tmp_path)), plans.ORACLE[name], str(tmp_path))
+
+
+@pytest.mark.parametrize("most", [1, 4, 5, 6, 8, 10])
+def test_near_hashes_at_the_radii(spark, most):
+    """Differences at most, and one above it, dealt over the four bands in every way."""
+    rng = random.Random(most)
+    deals = [d for d in product(range(17), repeat=4) if sum(d) in (most, most + 1)]
+    whole = lambda x: x - 2**64 if x >= 2**63 else x
+    hashes, want = set(), set()
+    for d in deals:
+        g = rng.getrandbits(64)
+        h = g ^ sum(1 << 16 * k + bit for k in range(4) for bit in rng.sample(range(16), d[k]))
+        hashes |= {whole(g), whole(h)}
+        if sum(d) == most:
+            want.add((min(whole(g), whole(h)), max(whole(g), whole(h))))
+    got = dedup.near_hashes(spark.createDataFrame([(h,) for h in hashes], "h long"), "h", most).collect()
+    assert len(got) == len(want) and {(r.a, r.b) for r in got} == want
+
+
+def test_product_groups_never_pairs_images(spark, monkeypatch):
+    parts = spark.createDataFrame([(p, p, "", "") for p in "pqr"], "part_id string, pos string, mpn string, title string")
+    images = spark.createDataFrame([(k, "pq"[k % 2], 5) for k in range(400)] + [(400, "r", 2**40 - 1)], "image long, part_id string, phash long")
+    titles, items = parts.select("part_id", "title"), parts.select("mpn", F.col("mpn").alias("mpn_raw"))
+    edges, real = [], listings.connected_components
+    monkeypatch.setattr(listings, "connected_components", lambda e, a, b: edges.append(e.count()) or real(e, a, b))
+    got = {r.part_id: r.group for r in listings.product_groups(parts, titles, items, images).collect()}
+    assert got == {"p": "p", "q": "p", "r": "r"} and edges == [1]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_parts_by_image_against_pairs(spark, seed):
+    rng = random.Random(seed)
+    base = [rng.getrandbits(63) for _ in range(25)]
+    rows = [(k, rng.choice([*"abcdefghijklmnopqrstuvwxyz", None]), base[k % 25] ^ sum(1 << rng.randrange(63) for _ in range(rng.choice([0, 0, 1, 4])))) for k in range(90)]
+    rows += [(90, "a", None), (91, "b", None)] + [(100 + k, x, 77) for k, x in enumerate("abcdefgh")] + [(120 + k, x, 7 << 40) for k, x in enumerate("ijklmn")] + [(130, "z", 7 << 40 | 1)]
+    images = spark.createDataFrame(rows, "image long, part string, h long")
+    pairs = dedup.without_generic(dedup.near_pairs(images, "image", "h", 6), images.select(F.col("image").alias("id"), "part"), 2 + seed)
+    near = dedup.near_hashes(images.select("h").distinct(), "h", 6)
+    found = lambda e: {r.id: r.component for r in connected_components(e, "a", "b").collect()}
+    want = found(pairs.select(F.col("pa").alias("a"), F.col("pb").alias("b")))
+    assert want and found(dedup.parts_by_image(images, "part", "h", near, 2 + seed)) == want
